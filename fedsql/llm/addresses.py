@@ -81,8 +81,13 @@ def token_cost(kind: str, a: str, b: str) -> float:
 
 
 def alignment_cost(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> float:
-    """Least cost of aligning two token sequences with affine gaps (three states: matched, gap in b, gap in a)."""
+    """Least cost of aligning two token sequences with affine gaps (three states: matched, gap in b, gap in a).
+
+    Only a kind of token that the other side lacks can stand in a gap; what both have must agree.
+    """
     n, m = len(a), len(b)
+    shared = {k for k, _ in a} & {k for k, _ in b}
+    gap = lambda kind: (INF, INF) if kind in shared else GAPS[kind]
     match = [[INF] * (m + 1) for _ in range(n + 1)]
     less = [[INF] * (m + 1) for _ in range(n + 1)]
     more = [[INF] * (m + 1) for _ in range(n + 1)]
@@ -92,10 +97,10 @@ def alignment_cost(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> float:
             if i and j and a[i - 1][0] == b[j - 1][0] and (c := token_cost(*a[i - 1], b[j - 1][1])) < INF:
                 match[i][j] = min(match[i - 1][j - 1], less[i - 1][j - 1], more[i - 1][j - 1]) + c
             if i:
-                opening, extending = GAPS[a[i - 1][0]]
+                opening, extending = gap(a[i - 1][0])
                 less[i][j] = min(min(match[i - 1][j], more[i - 1][j]) + opening, less[i - 1][j] + extending)
             if j:
-                opening, extending = GAPS[b[j - 1][0]]
+                opening, extending = gap(b[j - 1][0])
                 more[i][j] = min(min(match[i][j - 1], less[i][j - 1]) + opening, more[i][j - 1] + extending)
     return min(match[n][m], less[n][m], more[n][m])
 
