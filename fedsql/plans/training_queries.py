@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fedsql.operators import instants, nested, references, rolling, versions
-from fedsql.session import shared_path, table
+from fedsql.session import shared_path, table, written
 
 HOME = "Asia/Shanghai"
 
@@ -44,7 +44,8 @@ def _member_days(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    days = rolling.trailing(rolling.daily_totals(_member_days(spark, d)))
+    daily = written(rolling.daily_totals(_member_days(spark, d)), "daily")  # both sides of the range join read it
+    days = rolling.trailing(daily)
     return days.filter("not active and sum_7 * 30 > sum_30 * 7").select(F.col("entity").alias("member_id"), F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
