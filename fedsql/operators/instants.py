@@ -229,18 +229,23 @@ def choose_ends(rows: list[tuple[int, list[float], list[list[float]], list[list[
     return out
 
 
-def resolve(df: DataFrame, order: str = "ord") -> DataFrame:
-    """``df``(source, key, ``order``, states: :data:`STATES`, any more) with ``us`` in place of states: Viterbi's choice.
+def resolve(df: DataFrame, order: str = "ord", states: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(source, key, ``keep``, us) of ``df``(source, key, ``order``, more): Viterbi's choice among ``states``.
 
-    Records with one key are copies.  ``order`` gives the record order within a source, ties by key.
+    ``states`` (:data:`STATES`; the column of that name if not given) is worked out once the rows are in order, as
+    finding the ranges reads ``df`` a second time.  Records with one key are copies.  ``order`` gives the record order
+    within a source, ties by key.
     """
-    extra = [c for c in df.columns if c not in ("source", "key", order, "states")]
+    extra = list(keep)
+    ordered = df.repartitionByRange("source", order, "key").sortWithinPartitions("source", order, "key")
+    if states is not None:
+        ordered = ordered.withColumn("states", F.coalesce(states, F.array().cast(STATES)))
     sorted_ = checkpointed(
-        df.select(
+        ordered.select(
             "source", "key", order, *extra,
             F.size("states").alias("n"), F.get("states", F.lit(0))["us"].alias("us0"), F.get("states", F.lit(0))["fmt"].alias("fmt0"),
             F.when(F.size("states") > 1, F.col("states")).alias("alt"),
-        ).repartitionByRange("source", order, "key").sortWithinPartitions("source", order, "key")
+        )
     )
     rows = sorted_.select("source", "key", "n", "us0", "fmt0", "alt").mapInPandas(
         _summary, "source string, pid int, through array<double>, first array<array<double>>, last array<array<double>>"
