@@ -19,6 +19,7 @@ from decimal import Decimal
 from pathlib import Path
 from typing import Any
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,8 +90,10 @@ class Session:
             return "NULL"
         if isinstance(v, bool):
             return str(int(v))
-        if isinstance(v, (int, float, Decimal)):
-            return repr(v) if not isinstance(v, Decimal) else str(v)
+        if isinstance(v, float):
+            return f"double('{v!r}')"
+        if isinstance(v, (int, Decimal)):
+            return str(v)
         if isinstance(v, datetime):
             return f"timestamp {quoted(v.isoformat(' '))}"
         if isinstance(v, date):
@@ -414,6 +417,8 @@ class Engine:
         sql = s.sql if isinstance(s, Statement) else s
         try:
             return self._run(parse(sql))
+        except (AnalysisException, ParseException) as e:
+            raise SqlError(f"line {s.line if isinstance(s, Statement) else 1}: {str(e).splitlines()[0]}") from e
         except SqlError as e:
             raise SqlError(f"line {s.line if isinstance(s, Statement) else 1}: {e}") from None
 

@@ -68,7 +68,8 @@ def cast(x: str, kind: str) -> str:
     name, _, form = kind.strip().partition(" ")
     base, _, args = name.lower().partition("(")
     if base in ("str", "string", "char", "varchar", "text") and form:
-        return f"format_string({quoted(form)}, {x})" if "%" in form and not re.search("%[YmdHMS]", form) else f"date_format({time(x)}, {java_pattern(quoted(form))})"
+        to = "double" if re.search("%[^%]*[feg]", form) else "bigint" if re.search("%[^%]*d", form) else "string"
+        return f"format_string({quoted(form)}, try_cast({x} AS {to}))" if "%" in form and not re.search("%[YmHMS]|%d[-/%]", form) else f"date_format({time(x)}, {java_pattern(quoted(form))})"
     if base == "time":
         return f"date_format({time(x)}, 'HH:mm:ss')"
     if base in ("array", "set"):
