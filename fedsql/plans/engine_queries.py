@@ -86,7 +86,7 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "yield_zipped": ("SELECT r_regionkey, YIELD_ARRAY(SPLIT('a,b,c', ',')) AS x, YIELD_ARRAY(SPLIT('1,2', ',')) AS y FROM region", "SELECT r_regionkey, x, y FROM region, (VALUES ('a', '1'), ('b', '2'), ('c', NULL)) v(x, y)"),
     "yield_then_join": ("SELECT d._id, d.site, s.n_name FROM (SELECT _id, YIELD_ARRAY(sites) AS site FROM demo) d INNER JOIN nation s ON d.site = s.n_nationkey", "SELECT d._id, d.site, s.n_name FROM (SELECT _id, unnest(sites) AS site FROM demo) d JOIN nation s ON d.site = s.n_nationkey"),
     "nested_paths": ("SELECT `order.orderId` AS oid, `order.payInfo.payTypes.:0` AS first_type, `order.goodses.:0.goodsId` AS gid, `order.address.mobile` AS mobile, `user.username` AS uname, `order.channel.:0` AS ch FROM user_data", "SELECT \"order\".orderId AS oid, \"order\".payInfo.payTypes[1] AS first_type, \"order\".goodses[1].goodsId AS gid, \"order\".\"address.mobile\" AS mobile, \"user.username\" AS uname, \"order\".\"channel.:0\" AS ch FROM user_data"),
-    "nested_lists": ("SELECT `order.orderId` AS oid, JOIN(`order.goodses.goodsId`, ',') AS gids, JOIN(GET_VALUE(`order`, 'payInfo', 'payTypes', (0, 2)), '-') AS two FROM user_data", "SELECT \"order\".orderId AS oid, array_to_string(list_transform(\"order\".goodses, lambda x: x.goodsId), ',') AS gids, array_to_string(\"order\".payInfo.payTypes[1:2], '-') AS two FROM user_data"),
+    "nested_lists": ("SELECT `order.orderId` AS oid, JOIN(`order.goodses.goodsId`, ',') AS gids, JOIN(GET_VALUE(`order`, 'payInfo', 'payTypes', (0, 2)), '-') AS two FROM user_data", "SELECT \"order\".orderId AS oid, CASE WHEN \"order\".goodses IS NOT NULL THEN coalesce(array_to_string(list_transform(\"order\".goodses, lambda x: x.goodsId), ','), '') END AS gids, CASE WHEN \"order\".payInfo.payTypes IS NOT NULL THEN coalesce(array_to_string(\"order\".payInfo.payTypes[1:2], '-'), '') END AS two FROM user_data"),
     "type_annotations": ("SELECT `o_orderkey[str]` AS k, `o_totalprice[int]` AS p, `o_totalprice[str %.02f]` AS txt FROM orders", "SELECT CAST(o_orderkey AS VARCHAR) AS k, CAST(trunc(o_totalprice) AS BIGINT) AS p, printf('%.2f', o_totalprice) AS txt FROM orders"),
     "string_funcs": ("SELECT n_nationkey, UPPER(n_name) AS u, LOWER(n_name) AS l, LENGTH(n_name) AS len, SUBSTRING(n_name, 2, 3) AS sub, REVERSE(n_name) AS rev, REPLACE(n_name, 'A', '_') AS rep, LEFT(n_name, 2) AS lft, RIGHT(n_name, 2) AS rgt, REPEAT('ab', 2) AS dbl, STRCMP(n_name, 'M') AS cmp, TO_BASE64(n_name) AS b64, CONCAT_WS('-', n_name, n_nationkey) AS cw FROM nation", "SELECT n_nationkey, upper(n_name) AS u, lower(n_name) AS l, strlen(n_name) AS len, substr(n_name, 2, 3) AS sub, reverse(n_name) AS rev, replace(n_name, 'A', '_') AS rep, left(n_name, 2) AS lft, right(n_name, 2) AS rgt, 'abab' AS dbl, CASE WHEN n_name = 'M' THEN 0 WHEN n_name < 'M' THEN -1 ELSE 1 END AS cmp, to_base64(encode(n_name)) AS b64, concat_ws('-', n_name, n_nationkey) AS cw FROM nation"),
     "math_funcs": ("SELECT p_partkey, ABS(p_size - 25) AS a, ROUND(SQRT(p_size), 4) AS s, ROUND(LOG(p_size), 6) AS lg, ROUND(LN(p_size), 6) AS ln_, CEIL(p_retailprice) AS c, FLOOR(p_retailprice) AS f, SIGN(p_size - 25) AS sg, POW(p_size, 2) AS pw, GREATEST(p_size, 10) AS g, LEAST(p_size, 10) AS le, MOD(p_size, 4) AS m FROM part", "SELECT p_partkey, abs(p_size - 25) AS a, round(sqrt(p_size), 4) AS s, round(log10(p_size), 6) AS lg, round(ln(p_size), 6) AS ln_, CAST(ceil(p_retailprice) AS BIGINT) AS c, CAST(floor(p_retailprice) AS BIGINT) AS f, CAST(sign(p_size - 25) AS INT) AS sg, power(p_size, 2) AS pw, greatest(p_size, 10) AS g, least(p_size, 10) AS le, p_size % 4 AS m FROM part"),
