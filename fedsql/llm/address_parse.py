@@ -116,8 +116,10 @@ def _take_area(text: str, area: dict[str, str | None]) -> str:
             if end:
                 text = rest[len(end):].lstrip(" ,-")
                 continue
-            if level != "d":
-                text = rest.lstrip(" ,-")
+            # a street may begin like its city: without an ending, a name is an area only before a separator or another area
+            after = rest.lstrip(" ,-")
+            if level != "d" and (after != rest or _AREA_C.match(after) or _AREA_D.match(after)):
+                text = after
                 continue
         m = pattern.match(text)
         if not m:

@@ -41,6 +41,11 @@ def test_no_place(f):
     assert address_parse.parse(*f) is None
 
 
+def test_a_street_may_begin_like_its_province():
+    a = address_parse.parse("海鹭省", "川珠市", "珠光区", "海鹭路793号201室")
+    assert (a.street, a.number, a.room) == ("海鹭路", "793", "201")
+
+
 def test_number_words():
     assert [address_parse.number_word(x) for x in ("四八八", "四百八十八", "十二", "二十", "一百零五", "六五二")] == ["488", "488", "12", "20", "105", "652"]
 
