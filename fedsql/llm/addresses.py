@@ -2,11 +2,12 @@
 
 1. Each row's four fields are read into ordered tokens (:mod:`address_parse`);
    rows with the same tokens form one spelling, and only spellings go on.
-2. MinHash over the token and one-character q-gram shingles of a spelling's
-   street and of its estate gives bands; a band's key also holds building,
-   unit and room (or, where a place has none, the house number), so a bucket
-   has few spellings of other places.  Spellings sharing a bucket whose areas
-   and house numbers don't contradict each other are candidates.
+2. Each spelling's street and estate give a bucket key: the set of the name's
+   signs, confused signs as one, with building, unit and room, and a street's
+   house number.  No pair that 3 accepts is without a common key (see
+   :func:`bands`), so this equals comparing all pairs.  Spellings sharing a
+   bucket whose areas and house numbers don't contradict each other are
+   candidates.
 3. A candidate pair is verified by affine-gap alignment of its tokens
    (:func:`alignment_cost`): numbers must agree, a missing part opens or
    extends a gap, names pay for each differing sign, less where the
@@ -36,8 +37,8 @@ from fedsql.session import written
 CONFUSED = ("康糠", "竹筑", "屏平", "礼里", "庆厌", "荣容", "昌畅", "德得", "珠朱", "景井", "义意", "朗郎", "丰奉", "兴新", "泉全", "盛胜", "鹤贺", "阳杨", "霞暇", "翠萃", "枫风", "桐同", "溪西", "隆龙", "辰晨", "祥详", "仁人", "清青", "瑞睿", "锦绵", "晴睛", "禄录", "岚兰", "福富", "澜阑", "宁柠")
 SIDES = "东南西北中"
 # -------------------------------------------------------------------------
-BANDS = 5
 _VARIANT = {(a, b) for x, y in CONFUSED for a, b in ((x, y), (y, x))}
+_FOLD = str.maketrans({y: x for x, y in CONFUSED})
 KINDS = ("province", "city", "district", "street", "number", "estate", "building", "unit", "room")
 INF = float("inf")
 #: (opening, extending) a gap for each kind of token: areas are often left out, numbers of a flat never.
@@ -118,32 +119,17 @@ def same_place(a: str, b: str) -> bool:
     return alignment_cost(x, y) + (ONE_NAME if len(names) == 1 else 0.0) <= ACCEPT
 
 
-def _ending(name: str, ends: tuple[str, ...]) -> tuple[str, str]:
-    end = next((e for e in ends if name.endswith(e)), "")
-    base = name[: len(name) - len(end)]
-    if end and ends is STREET_ENDS and len(base) > 2 and base[-1] in SIDES:
-        base, end = base[:-1], base[-1] + end
-    return base, end
-
-
 def bands(spelling: str) -> list[int]:
-    """Bucket keys: for street and estate, BANDS MinHash values, each with the flat's or house's numbers."""
+    """Bucket keys, one for each name: every two spellings that :func:`same_place` accepts share one of them.
+
+    An accepted pair has a shared name that costs at most ACCEPT / 2 or ACCEPT - ONE_NAME, so less than OTHER; of such
+    names every differing sign is a confused, doubled or swapped one, and the set of folded signs is the same.
+    """
     t = dict(tokens(spelling))
     flat = "|".join(t.get(k, "") for k in ("building", "unit", "room"))
-    sign = flat if flat != "||" else "#" + t.get("number", "")
-    out = []
-    for kind, ends in (("street", STREET_ENDS), ("estate", ESTATE_ENDS)):
-        if kind not in t:
-            continue
-        base, end = _ending(t[kind], ends)
-        shingles = set(base)
-        if kind == "street":
-            shingles |= {"=" + end, "no" + t.get("number", "") if flat != "||" else "=" + end}
-        hashes = [xxhash.xxh3_64_intdigest(s) for s in shingles]
-        for k in range(BANDS):
-            least = min(xxhash.xxh3_64_intdigest(h.to_bytes(8, "big"), seed=k + 1) for h in hashes)
-            out.append(xxhash.xxh3_64_intdigest(f"{kind}|{k}|{least}|{sign}") - (1 << 63))
-    return out
+    # a street always has its house number beside it, an estate may be given with or without
+    numbers = {"street": f"{t.get('number', '')}#{flat}", "estate": flat}
+    return [xxhash.xxh3_64_intdigest(f"{k}|{''.join(sorted(set(t[k].translate(_FOLD))))}|{n}") - (1 << 63) for k, n in numbers.items() if k in t]
 
 
 def spellings(df: DataFrame, ident: Column, province: Column, city: Column, region: Column, detail: Column) -> DataFrame:
@@ -169,8 +155,9 @@ def classes(members: DataFrame) -> DataFrame:
     own = written(members.select("spelling").distinct().select(F.xxhash64("spelling").alias("h"), "spelling"), "spellings")
     part = F.split("spelling", r"\|")
     code = lambda k: F.when(part[k] != "", F.hash(part[k]))
+    area = lambda k: F.when(part[k] != "", F.hash(F.right(part[k], F.lit(1))))  # noqa: E731  # one area may be the end of the other
     keyed = own.select("h", "spelling").mapInPandas(banded, "h bigint, spelling string, bands array<bigint>").select(
-        "h", code(0).alias("p"), code(1).alias("c"), code(2).alias("d"), code(4).alias("n"), F.explode("bands").alias("band")
+        "h", area(0).alias("p"), area(1).alias("c"), area(2).alias("d"), code(4).alias("n"), F.explode("bands").alias("band")
     )
     keyed = written(keyed, "bands")
     a, b = keyed.alias("a"), keyed.alias("b")

@@ -80,6 +80,46 @@ def test_pairs_as_brute_force(spark, data):
     assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.97 * len(want)
 
 
+def test_every_accepted_pair_shares_a_bucket():
+    rng = random.Random(5)
+    signs = "".join(addresses.CONFUSED) + "川海中山"
+
+    def typed(name):
+        x, k = list(name), rng.randrange(len(name) - 2)
+        how = rng.randrange(3)
+        if how == 0:
+            x[k] = next((b for a, b in addresses._VARIANT if a == x[k]), x[k])
+        elif how == 1:
+            x.insert(k, x[k])
+        else:
+            x[k], x[k + 1] = x[k + 1], x[k]
+        return "".join(x)
+
+    seen = 0
+    for _ in range(4000):
+        street, estate = "".join(rng.choices(signs, k=rng.choice([2, 3]))) + "路", "".join(rng.choices(signs, k=2)) + "花园"
+        other = [(typed(typed(street)), estate), (typed(street), None), (street, typed(typed(estate))), (None, typed(estate)), (typed(street), typed(estate))][rng.randrange(5)]
+        flat = rng.choice(["3|1|201", "||"])
+        a = f"|||{street}|7|{rng.choice([estate, ''])}|{flat}"
+        b = f"|||{other[0] or ''}|{'7' if other[0] else ''}|{other[1] or ''}|{flat}"
+        if addresses.same_place(a, b):
+            seen += 1
+            assert set(addresses.bands(a)) & set(addresses.bands(b)), (a, b)
+    assert seen > 1000
+
+
+def test_pairs_are_all_that_comparing_finds(spark, data):
+    got = {tuple(r) for r in queries.p1_found(spark, data).collect()}
+    rows = {r.id: r for r in spark.read.parquet(f"{data}/member_orders.parquet").select("id", *FIELDS).collect()}
+    assert got >= brute_places(rows.values())
+
+
+def test_places_with_one_area_the_end_of_the_other_and_an_estate_without_its_street(spark):
+    rows = [(1, "大珠明省", "宁信市", "昌义县", "星晨路1号"), (2, "珠明省", "宁信市", "昌义县", "星晨路1号"), (3, "珠明省", "宁信市", "昌义县", "兴晨路8号安阳花园"), (4, "珠明省", "宁信市", "昌义县", "安阳花园")]
+    df = spark.createDataFrame(rows, "id bigint, a string, b string, c string, d string")
+    assert sorted(map(tuple, addresses.same_pairs(addresses.places(df, *(F.col(c) for c in ("id", "a", "b", "c", "d")))).collect())) == [(1, 2), (3, 4)]
+
+
 def test_addresses_of_every_kind(spark):
     rows = [(1, None, None, None, None), (2, "", "", "", ""), (3, "自提", None, None, "门店自提"), (None, "珠明省", None, None, "星晨路1号"), (4, None, None, None, "路" * 5000), (5, "珠明省", "宁信市", "昌义县", "星晨路1号"), (5, "珠明省", "宁信市", "昌义县", "星晨路1号"), (6, "珠明省", "宁信市", "昌义县", "星晨路１號"), (7, None, None, None, "12" * 5000)]
     df = spark.createDataFrame(rows, "id bigint, a string, b string, c string, d string").withColumn("spelling", F.lit("x")).withColumn("place", F.lit(0))
