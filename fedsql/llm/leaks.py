@@ -120,10 +120,10 @@ def phrase_hits(pack: Pack, postings: list[np.ndarray]) -> list[tuple[int, int,
     return out
 
 
-def passages(item: np.ndarray, doc: np.ndarray, least: int = 16, one_in: int = 8) -> bool:
+def passages(item: np.ndarray, doc: np.ndarray, least: int = 16, one_in: int = 8, shared_ends: bool = True) -> bool:
     """Whether ``doc`` has at least ``least`` neighbouring words of ``item`` in order with at most one edit in ``one_in``.
 
-    A passage begins and ends with a word that is the same on both sides.
+    With ``shared_ends`` a passage begins and ends with a word that is the same on both sides; else edits count anywhere.
     For each first word of the item, edit distances to all places of the document are kept row by row.
     """
     n, m = len(item), len(doc)
@@ -132,7 +132,7 @@ def passages(item: np.ndarray, doc: np.ndarray, least: int = 16, one_in: int = 8
     same = item[:, None] == doc[None, :]
     step = np.arange(m + 1, dtype=np.int32)
     # all starts side by side: row s is the distance of item[s:i] to the best piece of doc that ends at j
-    starts = np.flatnonzero(same.any(axis=1))
+    starts = np.flatnonzero(same.any(axis=1)) if shared_ends else np.arange(n)
     starts = starts[starts <= n - least]
     if not len(starts):
         return False
@@ -145,15 +145,17 @@ def passages(item: np.ndarray, doc: np.ndarray, least: int = 16, one_in: int = 8
         now[:, 0] = before[:, 0] + 1
         now[:, 1:] = np.minimum(before[:, :-1] + ~same[i], before[:, 1:] + 1)
         first = starts[live] == i
-        if first.any():  # a passage begins with a shared word
+        if shared_ends and first.any():  # a passage begins with a shared word
             now[first, 0] = big
             now[first, 1:] = np.where(same[i], 0, big)
         now = np.minimum.accumulate(now - step, axis=1) + step
         dist[live] = now
         length = i - starts[live] + 1
-        ends_same = np.where(same[i], before[:, :-1], big)  # and ends with one
-        ends_same = np.where(first[:, None], big, ends_same)
-        if ((length >= least) & (ends_same.min(axis=1) * one_in <= length)).any():
+        ended = now
+        if shared_ends:
+            ended = np.where(same[i], before[:, :-1], big)  # and ends with one
+            ended = np.where(first[:, None], big, ended)
+        if ((length >= least) & (ended.min(axis=1) * one_in <= length)).any():
             return True
         # a start that is hopeless even if all the rest is the same can go
         hopeless = now.min(axis=1) * one_in > n - starts[live]
@@ -166,7 +168,7 @@ def passages(item: np.ndarray, doc: np.ndarray, least: int = 16, one_in: int = 8
     return False
 
 
-def search(index: DataFrame, items: DataFrame, least: int = 16, one_in: int = 8) -> DataFrame:
+def search(index: DataFrame, items: DataFrame, least: int = 16, one_in: int = 8, shared_ends: bool = True) -> DataFrame:
     """(doc_id, item_id) of every document of the index with a passage of an item(item_id, text).
 
     ``items`` is a stated query set; it is sent to the blocks in packs of at most :data:`PACK_WORDS` words.
@@ -184,22 +186,22 @@ def search(index: DataFrame, items: DataFrame, least: int = 16, one_in: int = 8)
             room -= len(ws)
     out = None
     for p in packs:
-        found = index.mapInPandas(_searcher(Pack(p, gram), least, one_in), "doc_id bigint, item_id bigint")
+        found = index.mapInPandas(_searcher(Pack(p, gram), least, one_in, shared_ends), "doc_id bigint, item_id bigint")
         out = found if out is None else out.unionByName(found)
     return out.distinct()
 
 
-def _searcher(pack: Pack, least: int, one_in: int):  # noqa: ANN202
+def _searcher(pack: Pack, least: int, one_in: int, shared_ends: bool):  # noqa: ANN202
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for ids, starts, terms, ends, raw in zip(f["doc_ids"], f["starts"], f["terms"], f["ends"], f["postings"]):
-                found = search_block(pack, np.asarray(ids), np.asarray(starts), terms, np.asarray(ends), np.cumsum(np.frombuffer(raw, np.int32), dtype=np.int32), least, one_in)
+                found = search_block(pack, np.asarray(ids), np.asarray(starts), terms, np.asarray(ends), np.cumsum(np.frombuffer(raw, np.int32), dtype=np.int32), least, one_in, shared_ends)
                 yield pd.DataFrame(found, columns=["doc_id", "item_id"]).astype("int64")
 
     return run
 
 
-def search_block(pack: Pack, ids: np.ndarray, starts: np.ndarray, terms: list[str], ends: np.ndarray, positions: np.ndarray, least: int, one_in: int) -> list[tuple[int, int]]:
+def search_block(pack: Pack, ids: np.ndarray, starts: np.ndarray, terms: list[str], ends: np.ndarray, positions: np.ndarray, least: int, one_in: int, shared_ends: bool = True) -> list[tuple[int, int]]:
     none = np.empty(0, np.int32)
     postings = [none] * len(pack.vocab)
     for k, t in enumerate(terms):
@@ -239,7 +241,7 @@ def search_block(pack: Pack, ids: np.ndarray, starts: np.ndarray, terms: list[st
             # 16 words with two edits, or a stretch of a longer passage, have 14 of 20 words from the item
             width, edited = least + 2 * edits, (2 * least - 1) // one_in
             near = np.convolve(piece >= 0, np.ones(width, np.int64), "full")
-            if near.max(initial=0) >= min(least - edits, width - 2 * edited) and passages(item, piece, least, one_in):
+            if near.max(initial=0) >= min(least - edits, width - 2 * edited) and passages(item, piece, least, one_in, shared_ends):
                 out.append((int(ids[d]), int(pack.items[k][0])))
                 break
     return out

@@ -22,7 +22,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.search(leaks.build_index(table(spark, d, "documents")), table(spark, d, "eval_items"))
+    return leaks.search(leaks.build_index(table(spark, d, "documents")), table(spark, d, "eval_items"), shared_ends=False)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -207,6 +207,45 @@ def test_search_as_brute_force(seed):
     assert sorted(got) == sorted((d, i) for d, ws in enumerate(docs) for i, item in items if brute_passage(item, ws))
 
 
+def brute_free_passage(item, doc, least=16, one_in=8):
+    """Every start, plain dynamic programming: edits count anywhere, at the ends too."""
+    for s in range(len(item) - least + 1):
+        row = [0] * (len(doc) + 1)
+        for i in range(s, len(item)):
+            new = [row[0] + 1]
+            for j in range(1, len(doc) + 1):
+                new.append(min(row[j - 1] + (item[i] != doc[j - 1]), row[j] + 1, new[j - 1] + 1))
+            if i - s + 1 >= least and min(new) * one_in <= i - s + 1:
+                return True
+            row = new
+    return False
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_passages_edited_at_their_ends(seed):
+    rng = random.Random(seed)
+    names = [f"w{k}" for k in range(60)]
+    items = [(i, [rng.choice(names).encode() for _ in range(rng.randrange(14, 40))]) for i in range(6)]
+    block, docs = leaks._Block(), []
+    for d in range(12):
+        _, ws = rng.choice(items)
+        a = rng.randrange(max(1, len(ws) - 14))
+        piece = edited(rng, ws[a : a + rng.randrange(13, 30)], rng.randrange(4))
+        piece = [x if isinstance(x, bytes) else f"x{x}".encode() for x in piece]
+        docs.append([rng.choice(names).encode() for _ in range(rng.randrange(8))] + piece + [rng.choice(names).encode() for _ in range(rng.randrange(8))])
+        block.add(d, docs[-1])
+    ids, starts, terms, ends, raw = block.row()
+    got = leaks.search_block(leaks.Pack(items), np.array(ids), np.array(starts), terms, ends, np.cumsum(np.frombuffer(raw, np.int32), dtype=np.int32), 16, 8, False)
+    assert sorted(got) == sorted((d, i) for d, ws in enumerate(docs) for i, item in items if brute_free_passage(item, ws))
+
+
+def test_a_passage_with_its_last_word_left_out_is_found():
+    item = np.arange(40)
+    doc = np.concatenate([[90], np.arange(9), [91], np.arange(10, 15)])  # 16 words, one replaced, the last left out
+    assert leaks.passages(item, doc, shared_ends=False) and not leaks.passages(item, doc)
+    assert not leaks.passages(item, np.arange(13), shared_ends=False)
+
+
 def test_words_of_every_kind():
     assert words("Heat-\nexchanger, the ＦＵＬＬ Width　x (E-4)") == [w.encode() for w in ["heatexchanger", "the", "full", "width", "x", "e", "4"]]
     assert words("所述 阀\n组Abc") == [w.encode() for w in ["所", "述", "阀", "组", "abc"]]
