@@ -4,10 +4,12 @@ Changes are deltas of sign +1 and -1: a reference appears or goes, a target
 comes to life or dies.  :class:`Ledger` adds deltas up to counts per key;
 keys with positive references and zero existence are the current orphans.
 :func:`orphans_at` asks the same for each reference at its own time: counts
-are summed by key and day, carried forward over a key's days, and only the
-deltas of the reference's own day are looked at one by one.  A key with a
-third of all references is spread over its days, and no row's work grows
-with the key's number of lives.
+of references and of existence are summed by key and day, existence is
+carried forward over a key's days, and only days with positive references on
+which existence is too little at some time go on; of these the deltas of the
+reference's own day are looked at one by one.  A key with a third of all
+references is spread over its days, and no row's work grows with the key's
+number of lives.
 
 Defined results: null keys and times make no reference; a life without a
 beginning, or that ends no later than it begins, never covers a time; copies
@@ -56,22 +58,37 @@ def deltas_of_lives(lives: DataFrame, key: Column, begin: Column, end: Column) -
     ))))
 
 
+def reference_counts(references: DataFrame) -> DataFrame:
+    """(key, day, refs): signed references of each key and day; sign is 1 where references(key, day) has none."""
+    sign = F.col("sign") if "sign" in references.columns else F.lit(1)
+    return references.groupBy("key", "day").agg(F.sum(sign.cast("bigint")).alias("refs"))
+
+
+def least_existence(carry: Column, inside: Column) -> Column:
+    """The least count of existence within a day that begins with carry and has the deltas inside(ts, sign), one for each ts."""
+    state = lambda n, least: F.struct(n.alias("n"), least.alias("least"))
+    steps = F.sort_array(F.coalesce(inside, F.array().cast("array<struct<ts: timestamp, sign: bigint>>")))
+    return F.aggregate(steps, state(carry, carry), lambda s, x: state(s["n"] + x["sign"], F.least(s["least"], s["n"] + x["sign"])))["least"]
+
+
 def orphans_at(references: DataFrame, lives: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Rows of references(row_id, key, ts) whose key has no existence at ts, with ``reason``.
+    """Rows of references(row_id, key, ts; sign, if changes) whose key has no existence at ts, with ``reason``.
 
     ``lives`` (key) has every key that the target table has any row for; ``deltas`` as of :func:`deltas_of_lives`.
     The reason is ``missing`` without any row, ``late`` if all lives begin later, else ``deleted``.
     """
-    refs = references.filter("key is not null and ts is not null").withColumn("day", F.to_date("ts"))
+    refs = references.filter("key is not null and ts is not null")
+    if "sign" in refs.columns:  # a reference that went is none
+        refs = refs.groupBy(*(c for c in refs.columns if c != "sign")).agg(F.sum("sign").alias("sign")).filter("sign > 0")
+    refs = refs.withColumn("day", F.to_date("ts"))
     signed = deltas.groupBy("key", "ts").agg(F.sum("sign").alias("sign")).withColumn("day", F.to_date("ts"))
     daily = signed.groupBy("key", "day").agg(F.sum("sign").alias("net"), F.min("ts").alias("first"), F.collect_list(F.struct("ts", "sign")).alias("inside"))
-    asked = refs.groupBy("key", "day").agg(F.lit(1).alias("asked"))
-    days = daily.join(asked, ["key", "day"], "full")
+    days = daily.join(reference_counts(refs), ["key", "day"], "full")
     over = W.partitionBy("key").orderBy("day").rowsBetween(W.unboundedPreceding, -1)  # one row for each day
     carried = (
         days.withColumn("carry", F.coalesce(F.sum("net").over(over), F.lit(0)))
         .withColumn("begun", F.min("first").over(over))
-        .filter("asked is not null")
+        .filter("refs > 0").filter(least_existence(F.col("carry"), F.col("inside")) <= 0)
     )
     known = lives.select(F.col("key")).filter("key is not null").distinct().withColumn("known", F.lit(True))
     carried = carried.join(known, "key", "left").select(
@@ -83,5 +100,5 @@ def orphans_at(references: DataFrame, lives: DataFrame, deltas: DataFrame) -> Da
     return (
         at.withColumn("alive", alive).filter("alive <= 0")
         .withColumn("reason", F.when(~F.col("known"), "missing").when(~begun, "late").otherwise("deleted"))
-        .drop("day", "carry", "known", "begun", "inside", "alive")
+        .drop("day", "sign", "carry", "known", "begun", "inside", "alive")
     )

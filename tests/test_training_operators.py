@@ -282,6 +282,17 @@ def test_orphans_at_edges(spark):
     assert run(refs.limit(0), lives).count() == 0 and {r.reason for r in run(refs, lives.limit(0)).collect()} == {"missing"}
 
 
+def test_signed_references_are_counted_by_key_and_day(spark):
+    ts = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    lives = spark.createDataFrame([("a", ts(1), ts(5)), ("a", ts(7), ts(30)), ("b", ts(1), None)], "key string, b timestamp, e timestamp")
+    rows = [(1, "a", 6, 1), (2, "a", 6, 1), (2, "a", 6, -1), (3, "x", 1, 1), (3, "x", 1, -1), (4, "x", 26, 1), (5, "b", 3, 1), (6, "a", 40, 1), (7, "a", 6, 1), (8, "a", 8, 1)]
+    refs = spark.createDataFrame([(i, k, ts(h), n) for i, k, h, n in rows], "row_id int, key string, ts timestamp, sign int")
+    counts = {(r.key, r.day.day): r.refs for r in references.reference_counts(refs.withColumn("day", F.to_date("ts"))).collect()}
+    assert counts == {("a", 1): 3, ("x", 1): 0, ("x", 2): 1, ("b", 1): 1, ("a", 2): 1}
+    found = references.orphans_at(refs, lives.select("key"), references.deltas_of_lives(lives, F.col("key"), F.col("b"), F.col("e")))
+    assert {r.row_id: r.reason for r in found.collect()} == {1: "deleted", 4: "missing", 6: "deleted", 7: "deleted"}
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (8, 9), (7, 7), (None, 1)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
