@@ -30,11 +30,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return mixed.report().filter("not reaches").select("source")
 
 
+def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The mix itself, block by block, as token ids."""
+    docs = table(spark, d, "documents")
+    return mixing.materialise(mixing.mix(docs, table(spark, d, "source_weights")), docs)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_documents(table(spark, d, "documents")).filter("n_pieces > 1 and piece_no = 0").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p9_mixed": p9_mixed, "p10_found": p10_found}
 
 SQL = {
     "p7_found": """

@@ -370,3 +370,13 @@ def test_queries_on_empty_tables(spark, data, tmp_path):
         spark.read.parquet(f"{data}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     for name, f in queries.QUERIES.items():
         assert f(spark, str(tmp_path)).count() == 0, name
+
+
+def test_the_mix_is_a_query_over_whole_tables(spark, data):
+    mixed = queries.QUERIES["p9_mixed"](spark, data).selectExpr("shard", "source", "slot", "size(tokens) AS n").collect()
+    m = mixing.mix(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/source_weights.parquet"))
+    got = Counter()
+    for r in mixed:
+        got[r.source] += r.n
+    assert len({(r.source, r.slot) for r in mixed}) == len(mixed)
+    assert dict(got) == {r.source: r.n_tokens for r in m.report().collect() if r.n_tokens}
