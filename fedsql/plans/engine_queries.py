@@ -27,6 +27,7 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "where_or_null": ("SELECT id, member_id, pay_amount FROM member_orders WHERE pay_amount IS NULL OR (member_id IS NOT NULL AND pay_amount > 400)", None),
     "order_limit_offset": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10, 25", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 10"),
     "order_nulls_first": ("SELECT id, pay_amount FROM member_orders ORDER BY pay_amount, id LIMIT 200", "SELECT id, pay_amount FROM member_orders ORDER BY pay_amount NULLS FIRST, id LIMIT 200"),
+    "order_nulls_ranked": ("SELECT id, pay_amount, ROW_NUMBER() OVER (PARTITION BY status ORDER BY pay_amount, id) AS n FROM member_orders", "SELECT id, pay_amount, ROW_NUMBER() OVER (PARTITION BY status ORDER BY pay_amount NULLS FIRST, id) AS n FROM member_orders"),
     "limit_negative": ("SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT -5", "SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 20"),
     "distinct_rows": ("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", None),
     "distinct_group": ("SELECT DISTINCT COUNT(*) AS n FROM orders GROUP BY o_custkey", None),

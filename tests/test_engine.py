@@ -209,3 +209,15 @@ def test_query_as_duckdb(spark, data, name):
     plain = lambda v: round(float(v), 4) if isinstance(v, (int, float)) or type(v).__name__ == "Decimal" else None if v is None else str(v).removesuffix("+00:00")
     tidy = lambda rs: sorted(str([plain(r[c]) for c in sorted(columns)]) for r in rs)
     assert tidy([r.asDict() for r in df.collect()]) == tidy([dict(zip(columns, r)) for r in want.fetchall()])
+
+
+def test_nulls_come_first_in_the_order_of_a_whole_table(spark, data):
+    from fedsql.plans import engine_queries
+
+    rows = engine_queries.QUERIES["order_nulls_ranked"](spark, data).collect()
+    table = spark.read.parquet(f"{data}/member_orders.parquet").select("id", "status", "pay_amount").collect()
+    by = {}
+    for r in table:
+        by.setdefault(r.status, []).append((r.pay_amount is not None, r.pay_amount or 0.0, r.id))
+    want = sorted((i, n + 1) for v in by.values() for n, (_, _, i) in enumerate(sorted(v)))
+    assert sorted((r.id, r.n) for r in rows) == want
