@@ -152,13 +152,22 @@ def merge_upsert(spark: SparkSession, d: str) -> DataFrame:
     return merge.merge(o.filter("o_orderkey % 3 <> 0"), o.filter("o_orderkey % 2 = 0").withColumn("o_totalprice", F.lit(0.0)), ["o_orderkey"], "UI")
 
 
+def _merge_states(mode: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        members = table(spark, d, "member_orders").filter("id is not null").select("id", "status").distinct()
+        feed = table(spark, d, "order_feed").filter("id is not null").groupBy("id").agg(F.max("status").alias("status"))
+        return merge.merge(members, feed, ["id"], mode)
+
+    return query
+
+
 def transform_function(spark: SparkSession, d: str) -> DataFrame:
     return transforms.v2h(table(spark, d, "events").select("user_id", "event_type"), "event_type", "user_id").select("user_id", "click")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: _run(sql) for name, (sql, _) in PAIRS.items()},
-    "sliding_windows": sliding_windows, "session_windows": session_windows, "python_aggregate": python_aggregate, "python_generator": python_generator, "merge_upsert": merge_upsert, "transform_function": transform_function,
+    "sliding_windows": sliding_windows, "session_windows": session_windows, "python_aggregate": python_aggregate, "python_generator": python_generator, "merge_upsert": merge_upsert, **{f"merge_states_{m.lower()}": _merge_states(m) for m in ("U", "UI", "UDI")}, "transform_function": transform_function,
 }
 
 SQL: dict[str, str] = {

@@ -221,3 +221,15 @@ def test_nulls_come_first_in_the_order_of_a_whole_table(spark, data):
         by.setdefault(r.status, []).append((r.pay_amount is not None, r.pay_amount or 0.0, r.id))
     want = sorted((i, n + 1) for v in by.values() for n, (_, _, i) in enumerate(sorted(v)))
     assert sorted((r.id, r.n) for r in rows) == want
+
+
+def test_merges_of_whole_tables(spark, data):
+    from fedsql.plans import engine_queries
+
+    old = {r.id: r.status for r in spark.read.parquet(f"{data}/member_orders.parquet").collect() if r.id is not None}
+    new = {}
+    for r in spark.read.parquet(f"{data}/order_feed.parquet").collect():
+        new[r.id] = max((x for x in (new.get(r.id), r.status) if x is not None), default=None)
+    for mode, want in (("u", {k: new.get(k, v) for k, v in old.items()}), ("ui", old | new), ("udi", new)):
+        rows = [tuple(r) for r in engine_queries.QUERIES[f"merge_states_{mode}"](spark, data).collect()]
+        assert len(rows) == len(want) and dict(rows) == want, mode
