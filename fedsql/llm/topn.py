@@ -1,57 +1,105 @@
 """The N best rows of every group.
 
-Each partition keeps its own N best rows of each group: no other row can be
-among the group's N best.  Where it has N of them, its N-th best score is a
-lower bound for the whole group's.  The greatest bound of each group is
-joined to the kept rows, those below it go, and the few that are left are
-ranked.  A group with a third of all rows sends at most N rows from each
-partition.
+1. Each partition sorts its rows by group and score (Spark's sort, which
+   spills) and keeps its own N best of each group: no other row can be among
+   the group's N best.  They are written to the shared folder, once.
+2. Where a partition has N rows of a group, its N-th best is a lower bound for
+   the whole group's.  The greatest bound of each group that came from more
+   than one partition is joined to the kept rows, and rows below it go.
+3. The survivors are ranked.
+
+The bounds are broadcast only if they are at most :data:`MOST_BROADCAST` rows,
+counted before, and then rows go before anything is shuffled; more are joined
+by shuffling both sides by group, which the ranking needs in any case.  A group
+with a third of all rows sends at most N rows from each partition.
 
 Order: score from high to low, ties by the smaller id.  Rows with one group
-and id are copies and count once (with unlike scores the best counts).  Null
-groups, ids and scores and NaN scores are left out; an empty table gives no
-rows.
+and id are copies and count once (with unlike scores the best counts).  Scores
+are compared in their own type.  Null groups, ids and scores and NaN scores are
+left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from fedsql.session import written
+
+#: Bounds sent to every executor at most: a million rows of a group, a score and an id, some 50 MB.
+MOST_BROADCAST = 1_000_000
+
+
+def _ranked(n: int):  # noqa: ANN202
+    """Keeps the first n unlike ids of each run of one group, in sorted rows (g, id, score); adds their rank."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids = None, []  # the group that the batch before ended in, and its ids so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g, i = b.column("g").to_numpy(), b.column("id").to_numpy()
+            fresh = np.r_[True, g[1:] != g[:-1]]
+            first = np.flatnonzero(fresh)
+            run_no = np.cumsum(fresh) - 1
+            # the first time an id comes in its run
+            order = np.lexsort((np.arange(len(i)), i, run_no))
+            again = np.zeros(len(i), bool)
+            again[order[1:]] = (run_no[order[1:]] == run_no[order[:-1]]) & (i[order[1:]] == i[order[:-1]])
+            known = len(ids) if last is not None and g[0] == last else 0
+            if known:
+                head = first[1] if len(first) > 1 else len(g)
+                again[:head] |= np.isin(i[:head], ids)
+            count = np.cumsum(~again)
+            rank = count - np.where(first > 0, count[first - 1], 0)[run_no]
+            rank[run_no == 0] += known
+            keep = ~again & (rank <= n)
+            start = first[-1]
+            ids = ([*ids] if known and start == 0 else []) + i[start:][keep[start:]].tolist()
+            last = g[-1]
+            at = np.flatnonzero(keep)
+            if len(at):
+                out = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(rank[at].astype(np.int32))], names=[*out.schema.names, "rank"])
+
+    return run
+
+
+def local_best(rows: DataFrame, n: int) -> DataFrame:
+    """(g, id, score, rank): each partition's n best rows of each group in rows(g, id, score)."""
+    ordered = rows.sortWithinPartitions("g", F.desc("score"), "id")
+    schema = T.StructType([*rows.schema.fields, T.StructField("rank", T.IntegerType())])
+    return ordered.mapInArrow(_ranked(n), schema)
+
 
-def _best(f: pd.DataFrame, n: int) -> pd.DataFrame:
-    f = f.sort_values(["g", "score", "id"], ascending=[True, False, True], kind="stable").drop_duplicates(["g", "id"])
-    f["rank"] = f.groupby("g", sort=False).cumcount() + 1
-    return f[f["rank"] <= n]
+def bounds(kept: DataFrame, n: int) -> DataFrame:
+    """(g, bound): the greatest n-th best (score, id) of a partition, for groups that several partitions have rows of."""
+    # ~id turns the order of ids around without leaving their range
+    own = F.when(F.col("rank") == n, F.struct("score", F.bitwise_not("id").alias("turned")))
+    return kept.groupBy("g").agg(F.max(own).alias("bound"), F.count(F.when(F.col("rank") == 1, True)).alias("partitions")).filter("partitions > 1 and bound is not null").select("g", "bound")
 
 
 def top_n(df: DataFrame, group: Column, score: Column, ident: Column, n: int) -> DataFrame:
     """(group_id, rank_no, row_id, score) of ranks 1 to n in each group; group and id are integers, score a number."""
     if n < 1:
         raise ValueError("n must be positive")
-    rows = df.select(group.cast("bigint").alias("g"), ident.cast("bigint").alias("id"), score.cast("double").alias("score")).filter("g is not null and id is not null and score is not null and not isnan(score)")
-
-    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept, waiting, rows_waiting = None, [], 0
-        for f in frames:
-            waiting.append(f)
-            rows_waiting += len(f)
-            if rows_waiting >= 100_000 + (0 if kept is None else len(kept)):
-                kept = _best(pd.concat(([] if kept is None else [kept.drop(columns="rank")]) + waiting), n)
-                waiting, rows_waiting = [], 0
-        if waiting:
-            kept = _best(pd.concat(([] if kept is None else [kept.drop(columns="rank")]) + waiting), n)
-        if kept is not None:
-            yield kept[["g", "id", "score", "rank"]]
-
-    kept = rows.mapInPandas(local, "g bigint, id bigint, score double, rank int")
-    # a partition's n-th best is a bound; the greatest for each group holds for all its rows
-    bound = F.max(F.when(F.col("rank") == n, F.col("score"))).over(W.partitionBy("g"))
-    alive = kept.withColumn("bound", bound).filter("bound is null or score >= bound")
+    rows = df.select(group.cast("bigint").alias("g"), ident.cast("bigint").alias("id"), score.alias("score"))
+    if not isinstance(rows.schema["score"].dataType, T.NumericType):
+        rows = rows.withColumn("score", F.col("score").try_cast("double"))
+    rows = rows.filter("g is not null and id is not null and score is not null")
+    if isinstance(rows.schema["score"].dataType, (T.DoubleType, T.FloatType)):
+        rows = rows.filter("not isnan(score)")
+    kept = written(local_best(rows, n), "best")
+    least = written(bounds(kept, n), "bounds")
+    if least.count() <= MOST_BROADCAST:
+        least = F.broadcast(least)
+    alive = kept.join(least, "g", "left").filter(F.col("bound").isNull() | (F.struct("score", F.bitwise_not("id").alias("turned")) >= F.col("bound"))).select("g", "id", "score")
     order = W.partitionBy("g").orderBy(F.desc("score"), F.asc("id"))
-    best = alive.groupBy("g", "id").agg(F.max("score").alias("score"))
+    best = alive.repartition("g").groupBy("g", "id").agg(F.max("score").alias("score"))  # copies in several partitions
     return best.withColumn("rank_no", F.row_number().over(order).cast("bigint")).filter(F.col("rank_no") <= n).select(F.col("g").alias("group_id"), "rank_no", F.col("id").alias("row_id"), "score")
