@@ -8,6 +8,8 @@
 2. The mix has as many slots as the wanted tokens fill.  Output shards draw
    their sources' slot counts from a multinomial over the target shares; what
    a source cannot give within its cap goes, in shares, to those that can.
+   The shares reported, and the sources reported short, are counted in the
+   slots as drawn and joined to their blocks.
 3. A source's slots are numbered through the shards.  Slot i takes block
    P(i mod B), where P is a keyed pseudorandom permutation of the source's B
    blocks that changes with each round i div B: within a round no block comes
@@ -37,45 +39,59 @@ from fedsql.llm.tokens import VOCABULARY, counter
 from fedsql.session import written
 
 BLOCK = 2048
-BUCKETS = 512
+#: Documents of a source in one bucket of :func:`placed`, about; a bucket's running totals are one task's work.
+BUCKET_DOCS = 50_000
+#: Slots unrolled from one row of the plan at most.
+PAGE = 65_536
+#: Output shards at most: the plan, one row for each shard and source, is drawn on the driver.
+MOST_SHARDS = 10_000
 
 
 def source_name(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, r"^\s+|\s+$", "")))
 
 
-def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, n_tokens) of documents with a source and a text."""
+def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, ids: bool = False) -> DataFrame:
+    """(doc_id, source, n_tokens) of documents with a source and a text; with ``ids``, the tokens too."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = counter(vocabulary)
         for f in frames:
-            yield f[["doc_id", "source"]].assign(n_tokens=[c.count(t) for t in f["text"]])
+            if ids:
+                tokens = [c.encode(t) for t in f["text"]]
+                yield f[["doc_id", "source"]].assign(n_tokens=[len(t) for t in tokens], tokens=tokens)
+            else:
+                yield f[["doc_id", "source"]].assign(n_tokens=[c.count(t) for t in f["text"]])
 
     own = docs.select("doc_id", source_name(F.col("source")).alias("source"), "text").filter("source is not null and source <> '' and text is not null and text <> ''")
-    return own.mapInPandas(run, "doc_id bigint, source string, n_tokens bigint")
+    return own.mapInPandas(run, "doc_id bigint, source string, n_tokens bigint" + (", tokens array<int>" if ids else ""))
 
 
-def placed(counts: DataFrame, seed: int = 0) -> DataFrame:
-    """(doc_id, source, n_tokens, start): where each document's tokens begin in its source's stream."""
-    keyed = counts.withColumn("r", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("r", F.lit(BUCKETS)))
+def placed(counts: DataFrame, seed: int = 0, buckets: int = 64) -> DataFrame:
+    """``counts`` with ``start``: where each document's tokens begin in its source's stream."""
+    keyed = counts.withColumn("r", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("r", F.lit(buckets)))
     totals = keyed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"))
-    before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)  # at most BUCKETS rows
+    before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)  # at most `buckets` rows
     bases = totals.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = W.partitionBy("source", "bucket").orderBy("r", "doc_id").rowsBetween(W.unboundedPreceding, -1)
-    return keyed.join(bases, ["source", "bucket"]).select("doc_id", "source", "n_tokens", (F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"))
+    start = F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
+    return keyed.join(bases.hint("merge"), ["source", "bucket"]).withColumn("start", start).select(*counts.columns, "start")
 
 
 def blocks(places: DataFrame, length: int = BLOCK) -> DataFrame:
-    """(source, block, doc_id, at, from_token, n_tokens): the parts of documents that fill each block, and where in it."""
+    """(source, block, doc_id, at, from_token, n_tokens): the parts of documents that fill each block, and where in it.
+
+    Where ``places`` has ``tokens``, each part has its own.
+    """
     end = F.col("start") + F.col("n_tokens")
-    return (
+    parts = (
         places.filter("n_tokens > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((end - 1) / length))))
-        .select("source", "block", "doc_id",
-                F.greatest(F.col("start") - F.col("block") * length, F.lit(0)).alias("at"),
-                F.greatest(F.col("block") * length - F.col("start"), F.lit(0)).alias("from_token"),
-                (F.least(end, (F.col("block") + 1) * length) - F.greatest("start", F.col("block") * length)).alias("n_tokens"))
+        .withColumn("at", F.greatest(F.col("start") - F.col("block") * length, F.lit(0)))
+        .withColumn("from_token", F.greatest(F.col("block") * length - F.col("start"), F.lit(0)))
+        .withColumn("n_tokens", F.least(end, (F.col("block") + 1) * length) - F.greatest("start", F.col("block") * length))
     )
+    own = [F.slice("tokens", (F.col("from_token") + 1).cast("int"), F.col("n_tokens").cast("int")).alias("tokens")] if "tokens" in places.columns else []
+    return parts.select("source", "block", "doc_id", "at", "from_token", "n_tokens", *own)
 
 
 @dataclass(frozen=True)
@@ -85,19 +101,20 @@ class Source:
     cap: int
     tokens: int
 
+    def blocks(self, length: int) -> int:
+        return -(-self.tokens // length)
 
-def reaches(s: Source, size: int) -> bool:
-    """Whether the source can fill its share of ``size`` tokens, each document used at most ``cap`` times."""
-    return s.tokens * s.cap >= s.share * size
 
+def quotas(sources: list[Source], slots: int, size: int, length: int = BLOCK) -> dict[str, float]:
+    """Each source's expected slots: its share, or its cap and the rest in shares among those below theirs.
 
-def quotas(sources: list[Source], slots: int, length: int = BLOCK) -> dict[str, float]:
-    """Each source's expected slots: its share, or its cap and the rest in shares among those below theirs."""
-    most = {s.name: s.cap * -(-s.tokens // length) for s in sources}
+    A source whose tokens times its cap are fewer than its share of ``size`` always gives all it has.
+    """
+    most = {s.name: s.cap * s.blocks(length) for s in sources}
     free, left, out = [s for s in sources if most[s.name] and s.share > 0], float(slots), {s.name: 0.0 for s in sources}
     while free and left > 1e-9:
         weight = sum(s.share for s in free)
-        full = [s for s in free if left * s.share / weight >= most[s.name]]
+        full = [s for s in free if left * s.share / weight >= most[s.name] or s.tokens * s.cap < s.share * size]
         for s in full or free:
             out[s.name] = float(most[s.name]) if full else left * s.share / weight
         if not full:
@@ -107,29 +124,59 @@ def quotas(sources: list[Source], slots: int, length: int = BLOCK) -> dict[str,
     return out
 
 
-def draw(sources: list[Source], slots: int, shards: int, seed: int = 0, length: int = BLOCK) -> dict[str, list[int]]:
-    """Slots of each source in each output shard: multinomial draws, never more in all than the source's cap.
+def _spread(rng: np.random.Generator, n: int, room: np.ndarray) -> np.ndarray:
+    """``n`` items drawn into places by their room, never more in one than it has."""
+    out = np.zeros_like(room)
+    while n:
+        left = room - out
+        got = np.minimum(rng.multinomial(n, left / left.sum()), left)
+        out += got
+        n -= int(got.sum())
+    return out
+
+
+def draw(sources: list[Source], slots: int, shards: int, size: int, seed: int = 0, length: int = BLOCK) -> np.ndarray:
+    """Slots of each output shard (rows) and source (columns).
 
-    A draw beyond a cap goes to the sources with room, by shares.
+    Each shard's counts are a multinomial draw over the expected slots.  A source that gives all it has, or would
+    have to give more, is then set to its cap: the slots too many or too few are taken from, and given to, shards at
+    random, so that the shards' sizes stay.
     """
     rng = np.random.Generator(np.random.PCG64(seed))
-    want = quotas(sources, slots, length)
-    room = {s.name: s.cap * -(-s.tokens // length) for s in sources}
-    slots = min(slots, sum(n for s in sources if s.share > 0 for n in [room[s.name]]))
-    out = {s.name: [0] * shards for s in sources}
-    for k in range(shards):
-        left = slots // shards + (k < slots % shards)
-        while left:
-            p = np.array([want[s.name] if room[s.name] else 0.0 for s in sources])
-            if not p.sum():
-                p = np.array([s.share if room[s.name] else 0.0 for s in sources])
-            got = rng.multinomial(left, p / p.sum())
-            for s, n in zip(sources, got):
-                n = min(int(n), room[s.name])
-                out[s.name][k] += n
-                room[s.name] -= n
-                left -= n
-    return out
+    want = quotas(sources, slots, size, length)
+    expected = np.array([want[s.name] for s in sources])
+    most = np.array([s.cap * s.blocks(length) if s.share > 0 else 0 for s in sources], np.int64)
+    full = (expected >= most) & (most > 0)
+    slots = int(max(min(slots, most.sum()), most[full].sum()))  # last blocks that are short may make some more
+    sizes = np.full(shards, slots // shards, np.int64)
+    sizes[: slots % shards] += 1
+    if not slots:
+        return np.zeros((shards, len(sources)), np.int64)
+    counts = rng.multinomial(sizes, expected / expected.sum()).astype(np.int64)
+    goal = counts.sum(axis=0)
+    goal[full] = most[full]
+    goal = np.minimum(goal, most)
+    short = slots - int(goal.sum())
+    if short > 0:  # to sources with room, by shares
+        while short:
+            room = most - goal
+            p = np.where((room > 0) & ~full, np.where(expected > 0, expected, 1e-9), 0.0)
+            got = np.minimum(rng.multinomial(short, p / p.sum()), room)
+            goal += got
+            short -= int(got.sum())
+    elif short < 0:
+        goal -= _spread(rng, -short, np.where(full, 0, goal))
+    over = counts.sum(axis=0) - goal
+    holes = np.zeros(shards, np.int64)
+    for k in np.flatnonzero(over > 0):
+        gone = _spread(rng, int(over[k]), counts[:, k])
+        counts[:, k] -= gone
+        holes += gone
+    for k in np.flatnonzero(over < 0):
+        got = _spread(rng, int(-over[k]), holes)
+        counts[:, k] += got
+        holes -= got
+    return counts
 
 
 def permuted(i: Column, n: Column, key: Column) -> Column:
@@ -150,17 +197,20 @@ def permuted(i: Column, n: Column, key: Column) -> Column:
     return walk
 
 
-def slots_of(spark: SparkSession, sources: list[Source], drawn: dict[str, list[int]], seed: int = 0, length: int = BLOCK) -> DataFrame:
+def slots_of(spark: SparkSession, sources: list[Source], drawn: np.ndarray, seed: int = 0, length: int = BLOCK) -> DataFrame:
     """(shard, source, slot, round, block) of every slot of the mix."""
     rows = []
-    for s in sources:
-        at = 0
-        for k, n in enumerate(drawn[s.name]):
-            if n:
-                rows.append((k, s.name, at, at + n - 1, -(-s.tokens // length)))
-            at += n
-    runs = spark.createDataFrame(rows, "shard int, source string, lo bigint, hi bigint, n bigint")
-    out = runs.repartition(max(1, min(len(rows), spark.sparkContext.defaultParallelism)), "shard", "source").select("shard", "source", "n", F.explode(F.sequence("lo", "hi")).alias("slot"))
+    for k, s in enumerate(sources):
+        ends = np.cumsum(drawn[:, k])
+        rows += [(int(j), s.name, int(ends[j] - drawn[j, k]), int(ends[j]) - 1, s.blocks(length)) for j in np.flatnonzero(drawn[:, k])]
+    total = int(drawn.sum())
+    plan = spark.createDataFrame(rows, "shard int, source string, lo bigint, hi bigint, n bigint")
+    # a run of slots is cut into pages and these are spread before they are unrolled; a number given is kept by adaptive execution
+    pages = plan.withColumn("page", F.explode(F.sequence(F.floor(F.col("lo") / PAGE), F.floor(F.col("hi") / PAGE))))
+    tasks = max(1, min(len(rows) + total // PAGE, max(spark.sparkContext.defaultParallelism, total // 4_000_000)))
+    out = pages.repartition(tasks, "source", "shard", "page").select(
+        "shard", "source", "n", F.explode(F.sequence(F.greatest("lo", F.col("page") * PAGE), F.least("hi", F.col("page") * PAGE + (PAGE - 1)))).alias("slot")
+    )
     turn = F.floor(F.col("slot") / F.col("n"))
     return out.select("shard", "source", "slot", turn.alias("round"), permuted(F.col("slot") % F.col("n"), F.col("n"), F.xxhash64("source", turn, F.lit(seed))).alias("block"))
 
@@ -171,58 +221,65 @@ class Mix:
     parts: DataFrame
     sources: list[Source]
     size: int
+    length: int
 
     def rows(self) -> DataFrame:
         """(shard, source, slot, round, block, doc_id, at, from_token, n_tokens): the mix, as parts of documents."""
-        return self.slots.join(self.parts, ["source", "block"])
+        return self.slots.join(self.parts.drop("tokens").hint("merge"), ["source", "block"])
 
     def report(self) -> DataFrame:
-        """(source, target_share, actual_share, n_tokens, n_rounds, reaches): one row for each source with a target."""
+        """(source, target_share, actual_share, n_tokens, n_slots, n_rounds, exhausted, short) of the slots as drawn and joined to their blocks.
+
+        One row for each source with a target.  ``exhausted``: every block stands in the mix as often as the cap
+        allows; ``short``: and yet its tokens in the mix are fewer than its target share of the size.
+        """
         spark = self.slots.sparkSession
         sizes = self.parts.groupBy("source", "block").agg(F.sum("n_tokens").alias("n_tokens"))
-        got = self.slots.join(sizes, ["source", "block"]).groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), (F.max("round") + 1).alias("n_rounds"))
+        used = self.slots.groupBy("source", "block").agg(F.count(F.lit(1)).alias("n_slots"), F.max("round").alias("round"))
+        # both sides grow with the tokens, so neither is ever broadcast
+        got = used.join(sizes.hint("merge"), ["source", "block"]).groupBy("source").agg(
+            F.sum(F.col("n_tokens") * F.col("n_slots")).alias("n_tokens"), F.sum("n_slots").alias("n_slots"), (F.max("round") + 1).alias("n_rounds"))
         total = got.agg(F.sum("n_tokens").alias("all_tokens"))
-        plan = spark.createDataFrame([(s.name, s.share, reaches(s, self.size)) for s in self.sources], "source string, target_share double, reaches boolean")
+        plan = spark.createDataFrame([(s.name, s.share, s.share * self.size, s.cap * s.blocks(self.length)) for s in self.sources], "source string, target_share double, wanted double, most bigint")
+        none = F.lit(0).cast("bigint")
         return plan.join(got, "source", "left").crossJoin(total).select(  # total is one row
             "source", "target_share", F.coalesce(F.col("n_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"),
-            F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("n_rounds", F.lit(0)).alias("n_rounds"), "reaches",
+            F.coalesce("n_tokens", none).alias("n_tokens"), F.coalesce("n_slots", none).alias("n_slots"), F.coalesce("n_rounds", none).alias("n_rounds"),
+            (F.coalesce("n_slots", none) >= F.col("most")).alias("exhausted"),
+            ((F.coalesce("n_slots", none) >= F.col("most")) & (F.coalesce("n_tokens", none) < F.col("wanted"))).alias("short"),
         )
 
 
-def mix(docs: DataFrame, weights: DataFrame, size: int | None = None, shards: int = 16, seed: int = 0, vocabulary: str = VOCABULARY, length: int = BLOCK) -> Mix:
+def mix(docs: DataFrame, weights: DataFrame, size: int | None = None, shards: int | None = None, seed: int = 0, vocabulary: str = VOCABULARY, length: int = BLOCK, tokens: bool = False) -> Mix:
     """A mix of ``size`` tokens (all documents' with a source, if not given) of ``docs``(doc_id, source, text)
-    by ``weights``(source, target_share, max_repeats), one row for each source, a small fixed table."""
+    by ``weights``(source, target_share, max_repeats), one row for each source, a small fixed table.
+
+    ``shards``: output shards (one for each 4,096 slots if not given, :data:`MOST_SHARDS` at most); with ``tokens``
+    the token ids are kept for :func:`materialise`, so that no text is encoded twice.
+    """
     spark = docs.sparkSession
-    counts = written(token_counts(docs, vocabulary), "tokens")
-    per = {r.source: r.n for r in counts.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # one row for each source
+    counts = written(token_counts(docs, vocabulary, tokens), "tokens")
+    per = {r.source: (r.n, r.d) for r in counts.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("d")).collect()}  # one row for each source
     sources = []
     for r in weights.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").filter("source is not null").groupBy("source").agg(F.max("target_share").alias("t"), F.max("max_repeats").alias("m")).orderBy("source").collect():
         share = r.t if r.t is not None and math.isfinite(r.t) and r.t > 0 else 0.0
-        sources.append(Source(r.source, float(share), int(r.m or 0), int(per.get(r.source, 0))))
-    size = sum(per.values()) if size is None else size
+        sources.append(Source(r.source, float(share), max(int(r.m or 0), 0), int(per.get(r.source, (0, 0))[0])))
+    size = sum(n for n, _ in per.values()) if size is None else size
     slots = -(-size // length)
-    drawn = draw(sources, slots, shards, seed, length)
-    wanted = [s.name for s in sources]
-    parts = blocks(placed(counts.filter(F.col("source").isin(wanted)), seed), length)
-    return Mix(slots_of(spark, sources, drawn, seed, length), parts, sources, size)
-
-
-def materialise(mixed: Mix, docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(shard, source, slot, tokens): the blocks of the mix as token ids; the last block of a source may be short."""
-    parts = mixed.parts.join(docs.select("doc_id", "text"), "doc_id")
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = counter(vocabulary)
-        for f in frames:
-            memo: dict[int, list[int]] = {}
-            out = []
-            for d, t, a, n in zip(f["doc_id"], f["text"], f["from_token"], f["n_tokens"]):
-                if d not in memo:
-                    memo = {d: c.encode(t)}
-                out.append(memo[d][a : a + n])
-            yield f[["source", "block", "at"]].assign(tokens=out)
-
-    pieces = parts.mapInPandas(cut, "source string, block bigint, at bigint, tokens array<int>")
-    whole = pieces.groupBy("source", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "tokens"))), lambda x: x["tokens"])).alias("tokens"))
-    return mixed.slots.join(whole, ["source", "block"]).select("shard", "source", "slot", "tokens")
-
+    shards = min(max(16, -(-slots // 4096)), MOST_SHARDS) if shards is None else shards
+    if not 0 < shards <= MOST_SHARDS:
+        raise ValueError(f"shards must be 1 to {MOST_SHARDS}")
+    drawn = draw(sources, slots, shards, size, seed, length)
+    wanted = [s.name for s in sources if s.share > 0]
+    buckets = max([64, *(-(-d // BUCKET_DOCS) for _, d in per.values())])
+    parts = blocks(placed(counts.filter(F.col("source").isin(wanted)), seed, buckets), length)
+    return Mix(slots_of(spark, sources, drawn, seed, length), parts, sources, size, length)
+
+
+def materialise(mixed: Mix) -> DataFrame:
+    """(shard, source, slot, tokens): the blocks of a mix made with ``tokens=True``; the last block of a source may be short."""
+    if "tokens" not in mixed.parts.columns:
+        raise ValueError("the mix was made without its tokens")
+    # a block has at most its length in tokens, so the list is bounded
+    whole = mixed.parts.groupBy("source", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "tokens"))), lambda x: x["tokens"])).alias("tokens"))
+    return mixed.slots.join(whole.hint("merge"), ["source", "block"]).select("shard", "source", "slot", "tokens")

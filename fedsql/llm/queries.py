@@ -26,21 +26,24 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, d, "documents"), table(spark, d, "source_weights"))
-    return mixed.report().filter("not reaches").select("source")
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "source_weights")).report().filter("short").select("source")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual shares of every source in the mix."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "source_weights")).report()
 
 
 def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
     """The mix itself, block by block, as token ids."""
-    docs = table(spark, d, "documents")
-    return mixing.materialise(mixing.mix(docs, table(spark, d, "source_weights")), docs)
+    return mixing.materialise(mixing.mix(table(spark, d, "documents"), table(spark, d, "source_weights"), tokens=True))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_documents(table(spark, d, "documents")).filter("n_pieces > 1 and piece_no = 0").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p9_mixed": p9_mixed, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p9_report": p9_report, "p9_mixed": p9_mixed, "p10_found": p10_found}
 
 SQL = {
     "p7_found": """

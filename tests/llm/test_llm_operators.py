@@ -146,6 +146,35 @@ def test_top_n_as_brute_force(spark, n):
     assert topn.top_n(df.limit(0), F.col("group_id"), F.col("score"), F.col("id"), n).count() == 0
 
 
+def test_top_n_bounds_take_rows_away_and_keep_the_order_of_large_numbers(spark):
+    rows = spark.range(4000).select(F.lit(7).alias("g"), (F.lit(2**62) + F.col("id")).alias("score"), F.col("id")).repartition(8)
+    kept = topn.local_best(rows.select(F.col("g").cast("bigint").alias("g"), "id", "score"), 3).cache()
+    least = topn.bounds(kept, 3).collect()
+    assert kept.count() == 24 and len(least) == 1
+    assert kept.filter(F.struct("score") >= F.struct(F.lit(least[0].bound.score))).count() < 24
+    got = topn.top_n(rows, F.col("g"), F.col("score"), F.col("id"), 3).orderBy("rank_no").collect()
+    assert [(r.row_id, r.score) for r in got] == [(3999 - k, 2**62 + 3999 - k) for k in range(3)]
+    money = rows.select("g", (F.col("id").cast("decimal(30,2)") + F.lit("12345678901234567890").cast("decimal(30,2)")).alias("score"), "id")
+    assert [r.row_id for r in topn.top_n(money, F.col("g"), F.col("score"), F.col("id"), 2).orderBy("rank_no").collect()] == [3999, 3998]
+
+
+@pytest.mark.parametrize("limit", [0, topn.MOST_BROADCAST])
+def test_top_n_over_small_batches_with_copies(spark, monkeypatch, limit):
+    monkeypatch.setattr(topn, "MOST_BROADCAST", limit)
+    rng = random.Random(limit)
+    rows = [(g, rng.randrange(4), rng.randrange(12)) for g in range(40) for _ in range(rng.choice([1, 3, 60]))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = topn.top_n(spark.createDataFrame(rows, "g bigint, s bigint, id bigint").repartition(3), F.col("g"), F.col("s"), F.col("id"), 4).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    best = defaultdict(dict)
+    for g, s, i in rows:
+        best[g][i] = max(s, best[g].get(i, -1))
+    want = [(g, k + 1, i) for g, v in best.items() for k, (i, _) in enumerate(sorted(v.items(), key=lambda x: (-x[1], x[0]))[:4])]
+    assert sorted((r.group_id, r.rank_no, r.row_id) for r in got) == sorted(want)
+
+
 # ---- leaks ---------------------------------------------------------------------------------------
 
 def brute_passage(item, doc, least=16, one_in=8):
@@ -340,9 +369,9 @@ def test_mix_keeps_shares_caps_and_tokens(spark):
     docs = [(i, rng.choice(["A", " a ", "B"]), "word " * rng.randrange(1, 300)) for i in range(300)] + [(900, "a", None), (901, None, "x"), (902, "other", "y " * 50), (903, "c", "rare words " * 20)]
     df = spark.createDataFrame(docs, "doc_id bigint, source string, text string").withColumn("block", F.lit("x"))
     weights = spark.createDataFrame([("a", 0.5, 2), ("B", 0.3, 3), ("C", 0.1, 2), ("none", 0.1, 5)], "source string, target_share double, max_repeats int")
-    m = mixing.mix(df, weights, length=64, shards=4)
+    m = mixing.mix(df, weights, length=64, shards=4, tokens=True)
     report = {r.source: r for r in m.report().collect()}
-    assert {s for s, r in report.items() if not r.reaches} == {"c", "none"}
+    assert {s for s, r in report.items() if r.short} == {"c", "none"}
     assert sum(r.actual_share for r in report.values()) == pytest.approx(1)
     assert report["a"].n_rounds <= 2 and report["b"].n_rounds <= 3 and report["c"].n_rounds == 2
     assert abs(report["a"].actual_share / report["b"].actual_share - 5 / 3) < 0.5
@@ -353,11 +382,39 @@ def test_mix_keeps_shares_caps_and_tokens(spark):
     assert parts == want
     use = Counter((r.source, r.slot) for r in m.slots.collect())
     assert max(use.values()) == 1
-    cut = mixing.materialise(m, df.dropDuplicates(["doc_id"])).collect()
+    cut = mixing.materialise(m).collect()
     assert len(cut) == len(use) and max(len(r.tokens) for r in cut) == 64
     assert sum(len(r.tokens) for r in cut) == sum(r.n_tokens for r in report.values())
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_draws_keep_caps_and_sizes(seed):
+    rng = random.Random(seed)
+    length = 10
+    sources = [mixing.Source(f"s{k}", rng.choice([0.0, rng.random(), rng.random() * 5]), rng.choice([0, 1, 3]), rng.choice([0, 5, rng.randrange(4000)])) for k in range(rng.randrange(1, 7))]
+    total = sum(s.share for s in sources) or 1.0
+    sources = [mixing.Source(s.name, s.share / total, s.cap, s.tokens) for s in sources]
+    size, shards = rng.choice([1, 37, 5000, 100_000]), rng.choice([1, 3, 16])
+    slots = -(-size // length)
+    drawn = mixing.draw(sources, slots, shards, size, seed, length)
+    most = [s.cap * s.blocks(length) if s.share > 0 else 0 for s in sources]
+    got = drawn.sum(axis=0)
+    assert (drawn >= 0).all() and all(g <= m for g, m in zip(got, most))
+    assert drawn.sum() == min(slots, sum(most)) or all(g == m for g, m, s in zip(got, most, sources) if s.tokens * s.cap >= s.share * size)
+    assert np.ptp(drawn.sum(axis=1)) <= 1
+    for s, g, m in zip(sources, got, most):  # short by its tokens if and only if all of it is used and too little
+        if s.share > 0:
+            assert (s.tokens * s.cap < s.share * size) == (g >= m and s.tokens * s.cap < s.share * size)
+
+
+def test_slots_of_a_long_run_are_unrolled_by_pages(spark):
+    s = mixing.Source("a", 1.0, 1, 200_000 * 8)
+    slots = mixing.slots_of(spark, [s], np.array([[150_000], [50_000]]), length=8)
+    r = slots.groupBy().agg(F.count("*").alias("n"), F.countDistinct("slot").alias("s"), F.countDistinct("block").alias("b"), F.max("block").alias("m")).first()
+    assert (r.n, r.s, r.b, r.m) == (200_000, 200_000, 200_000, 199_999)
+    assert slots.filter("slot = 149999").first().shard == 0 and slots.filter("slot = 150000").first().shard == 1
+
+
 def test_mix_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id bigint, source string, text string")
     weights = spark.createDataFrame([("a", 0.5, 2), ("b", None, None)], "source string, target_share double, max_repeats int")
