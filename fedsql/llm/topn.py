@@ -8,10 +8,12 @@
    than one partition is joined to the kept rows, and rows below it go.
 3. The survivors are ranked.
 
-The bounds are broadcast only if they are at most :data:`MOST_BROADCAST` rows,
-counted before, and then rows go before anything is shuffled; more are joined
-by shuffling both sides by group, which the ranking needs in any case.  A group
-with a third of all rows sends at most N rows from each partition.
+A group that p partitions have rows of sends up to p * N rows, so bounds pay for
+groups of many partitions.  Those of the groups with the most partitions,
+:data:`MOST_BROADCAST` of them at most (counted before), are broadcast, and
+their rows go before anything is shuffled; the other groups' rows are fewer
+and are ranked as they are, with the same result.  A group with a third of all
+rows sends about N rows in all.
 
 Order: score from high to low, ties by the smaller id.  Rows with one group
 and id are copies and count once (with unlike scores the best counts).  Scores
@@ -32,8 +34,8 @@ from pyspark.sql import Window as W
 
 from fedsql.session import written
 
-#: Bounds sent to every executor at most: a million rows of a group, a score and an id, some 50 MB.
-MOST_BROADCAST = 1_000_000
+#: Bounds sent to every executor at most: rows of a group, a score and an id, some 3 MB.
+MOST_BROADCAST = 50_000
 
 
 def _ranked(n: int):  # noqa: ANN202
@@ -79,10 +81,22 @@ def local_best(rows: DataFrame, n: int) -> DataFrame:
 
 
 def bounds(kept: DataFrame, n: int) -> DataFrame:
-    """(g, bound): the greatest n-th best (score, id) of a partition, for groups that several partitions have rows of."""
+    """(g, bound, partitions): the greatest n-th best (score, id) of a partition, for groups that several partitions have rows of."""
     # ~id turns the order of ids around without leaving their range
     own = F.when(F.col("rank") == n, F.struct("score", F.bitwise_not("id").alias("turned")))
-    return kept.groupBy("g").agg(F.max(own).alias("bound"), F.count(F.when(F.col("rank") == 1, True)).alias("partitions")).filter("partitions > 1 and bound is not null").select("g", "bound")
+    return kept.groupBy("g").agg(F.max(own).alias("bound"), F.count(F.when(F.col("rank") == 1, True)).alias("partitions")).filter("partitions > 1 and bound is not null")
+
+
+def widest(least: DataFrame, most: int) -> DataFrame | None:
+    """(g, bound) of the groups with the most partitions, at most ``most``; None if there are none or more are alike."""
+    power = F.floor(F.log2(F.col("partitions").cast("double"))).cast("int")
+    wide, at = 0, None
+    for r in least.groupBy(power.alias("power")).count().orderBy(F.desc("power")).collect():  # one row for each power of two
+        wide += r["count"]
+        if wide > most:
+            break
+        at = r.power
+    return None if at is None else least.filter(F.col("partitions") >= 2**at).select("g", "bound")
 
 
 def top_n(df: DataFrame, group: Column, score: Column, ident: Column, n: int) -> DataFrame:
@@ -96,10 +110,10 @@ def top_n(df: DataFrame, group: Column, score: Column, ident: Column, n: int) ->
     if isinstance(rows.schema["score"].dataType, (T.DoubleType, T.FloatType)):
         rows = rows.filter("not isnan(score)")
     kept = written(local_best(rows, n), "best")
-    least = written(bounds(kept, n), "bounds")
-    if least.count() <= MOST_BROADCAST:
-        least = F.broadcast(least)
-    alive = kept.join(least, "g", "left").filter(F.col("bound").isNull() | (F.struct("score", F.bitwise_not("id").alias("turned")) >= F.col("bound"))).select("g", "id", "score")
+    least = widest(written(bounds(kept, n), "bounds"), MOST_BROADCAST)
+    alive = kept
+    if least is not None:
+        alive = kept.join(F.broadcast(least), "g", "left").filter(F.col("bound").isNull() | (F.struct("score", F.bitwise_not("id").alias("turned")) >= F.col("bound")))
     order = W.partitionBy("g").orderBy(F.desc("score"), F.asc("id"))
-    best = alive.repartition("g").groupBy("g", "id").agg(F.max("score").alias("score"))  # copies in several partitions
+    best = alive.select("g", "id", "score").repartition("g").groupBy("g", "id").agg(F.max("score").alias("score"))  # copies in several partitions
     return best.withColumn("rank_no", F.row_number().over(order).cast("bigint")).filter(F.col("rank_no") <= n).select(F.col("g").alias("group_id"), "rank_no", F.col("id").alias("row_id"), "score")

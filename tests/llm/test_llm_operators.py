@@ -150,7 +150,7 @@ def test_top_n_bounds_take_rows_away_and_keep_the_order_of_large_numbers(spark):
     rows = spark.range(4000).select(F.lit(7).alias("g"), (F.lit(2**62) + F.col("id")).alias("score"), F.col("id")).repartition(8)
     kept = topn.local_best(rows.select(F.col("g").cast("bigint").alias("g"), "id", "score"), 3).cache()
     least = topn.bounds(kept, 3).collect()
-    assert kept.count() == 24 and len(least) == 1
+    assert kept.count() == 24 and len(least) == 1 and topn.widest(topn.bounds(kept, 3), 1).count() == 1 and topn.widest(topn.bounds(kept, 3), 0) is None
     assert kept.filter(F.struct("score") >= F.struct(F.lit(least[0].bound.score))).count() < 24
     got = topn.top_n(rows, F.col("g"), F.col("score"), F.col("id"), 3).orderBy("rank_no").collect()
     assert [(r.row_id, r.score) for r in got] == [(3999 - k, 2**62 + 3999 - k) for k in range(3)]
