@@ -5,11 +5,14 @@ Spark expressions).  Where more than one reading is left, Viterbi over the
 source's record order picks one (:func:`resolve`): a path pays for a reading's
 own improbability, for each switch of format and for each backward jump.
 
-Record order is cut into range partitions.  A partition reports, for each
-state it may be entered in and left in, the cheapest way through (one small
-row); the driver runs Viterbi over these rows, as many as there are
-partitions, and a second pass fixes the readings inside.  The result is that
-of one pass over the whole source, and no task holds a source.
+Every path goes through a record with one reading, so such records part the
+problem: only records with several readings, their neighbours and the ends of
+range partitions are looked at, and where no record of any source has several,
+nothing is put in order at all.  A partition reports, for each state it may be
+entered in and left in, the cheapest way through (one small row); the driver
+runs Viterbi over these rows, as many as there are partitions, and a second
+pass fixes the readings inside.  The result is that of one pass over the whole
+source, and no task holds a source.
 
 Defined results: null, empty and meaningless texts and impossible dates have
 no reading and give null; rows repeated in all columns are one record; an
@@ -21,15 +24,14 @@ from __future__ import annotations
 import math
 import re
 import zoneinfo
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
-from fedsql.session import checkpointed
+from fedsql.session import written
 
 # ---- fixed values: zone abbreviations of Europe, the eastern United States and eastern Australia
 ZONES = {
@@ -60,43 +62,61 @@ STATES = "array<struct<us: bigint, fmt: int, cost: double>>"
 STRICT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:\d{2})$"
 
 
-def _zone(text: Column, default: Column) -> Column:
-    t = F.regexp_replace(F.trim(text), r"^\[(.*)\]$", "$1")
-    t = F.regexp_replace(t, r"^(Z|[+-]\d{2}:?\d{2})\[[^\]]+\]$", "$1")
+#: How the texts of each format begin, so that each text meets the patterns of one or two formats.
+SHAPES = (
+    (r"^\d{4}[-/.]", ("ymd",)), (r"^\d{1,2}[-/.]\d", ("dmy", "mdy")), (r"^\d{4}年", ("han",)), (r"^\d{8}", ("digits",)),
+    (r"^\d{1,2}[ -][A-Za-z]", ("d_mon_y",)), (r"^[A-Za-z]", ("d_mon_y", "mon_d_y")),
+)
+_REGIONS = sorted(z for z in zoneinfo.available_timezones() if "/" in z and not z.startswith(("posix", "right", "System")))
+
+
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` worked out once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _zone(text: Column) -> Column:
+    """The zone that a text which is not empty names, null if none."""
+    named = F.create_map(*(F.lit(x) for pair in ZONES.items() for x in pair))
     offset = r"^(?:UTC|GMT|utc|gmt)? ?([+-])(\d{1,2})(?::?([0-5]\d))?$"
-    hours = F.regexp_extract(t, offset, 2)
-    named = F.lit(None).cast("string")
-    for abbreviation, at in ZONES.items():
-        named = F.when(F.upper(t) == abbreviation, F.lit(at)).otherwise(named)
-    regions = sorted(z for z in zoneinfo.available_timezones() if "/" in z and not z.startswith(("posix", "right", "System")))
-    return (
-        F.when(t == "", default)
-        .when(t.rlike(offset) & (hours.try_cast("int") <= 18), F.concat(F.regexp_extract(t, offset, 1), F.lpad(hours, 2, "0"), F.lit(":"), F.rpad(F.regexp_extract(t, offset, 3), 2, "0")))
-        .when(t.rlike("^[A-Za-z]+$"), named)
-        .when(t.isin(regions), t)
-    )
+
+    def read(t: Column) -> Column:
+        hours = F.regexp_extract(t, offset, 2)
+        return (
+            F.when(t.rlike("^[A-Za-z]+$"), F.try_element_at(named, F.upper(t)))
+            .when(t.rlike(offset) & (hours.try_cast("int") <= 18), F.concat(F.regexp_extract(t, offset, 1), F.lpad(hours, 2, "0"), F.lit(":"), F.rpad(F.regexp_extract(t, offset, 3), 2, "0")))
+            .when(t.isin(_REGIONS), t)
+        )
+
+    return _let(F.regexp_replace(F.regexp_replace(text, r"^\[(.*)\]$", "$1"), r"^(Z|[+-]\d{2}:?\d{2})\[[^\]]+\]$", "$1"), read)
 
 
 def _instant(parts: Column, default: Column) -> Column:
-    """Microseconds of year|month|day|hour|minute|second|fraction|rest, null if impossible.
+    """Microseconds of format|year|month|day|hour|minute|second|fraction|rest, null if impossible.
 
     A wall time that occurs twice is the earlier instant and a skipped one is read with the
     offset before the change: what java.time, and so make_timestamp, does.
     """
-    p = F.split(parts, r"\|", 8)
     number = lambda c: F.when(c == "", F.lit(0)).otherwise(c.try_cast("int"))
-    rest = F.trim(p[7])
-    half = F.upper(F.regexp_extract(rest, r"^([AaPp][Mm])\b", 1))
-    rest = F.trim(F.regexp_replace(rest, r"^[AaPp][Mm]\b", ""))
-    at = F.instr(F.lit(MONTHS), F.lower(F.substring(p[1], 1, 3)))
-    month = F.when(p[1].rlike(r"^\d+$"), p[1].try_cast("int")).when((at > 0) & (at % 3 == 1), ((at + 2) / 3).cast("int"))
-    hour = number(p[3])
-    hour = F.when(half == "", hour).when((hour >= 1) & (hour <= 12), hour % 12 + F.when(half == "PM", 12).otherwise(0))
-    second = number(p[5])
-    exact = F.concat(F.lpad(second.cast("string"), 2, "0"), F.lit("."), F.rpad(F.substring(p[6], 1, 6), 6, "0")).try_cast("decimal(16,6)")
-    year = p[0].try_cast("int")
-    ok = (year >= 1) & (second < 60) & ((half == "") | (p[3] != ""))
-    return F.when(ok, F.unix_micros(F.try_make_timestamp(year, month, p[2].try_cast("int"), hour, number(p[4]), exact, _zone(rest, default))))
+
+    def at(p: Column, half: Column, zone: Column) -> Column:
+        place = F.instr(F.lit(MONTHS), F.lower(F.substring(p[2], 1, 3)))
+        month = F.coalesce(p[2].try_cast("int"), F.when((place > 0) & (place % 3 == 1), ((place + 2) / 3).cast("int")))
+        hour = number(p[4])
+        hour = F.when(half == "", hour).when((hour >= 1) & (hour <= 12), hour % 12 + F.when(half == "PM", 12).otherwise(0))
+        exact = F.concat(F.lpad(p[6], 2, "0"), F.lit("."), F.rpad(F.substring(p[7], 1, 6), 6, "0")).try_cast("decimal(16,6)")
+        year = p[1].try_cast("int")
+        ok = (year >= 1) & (number(p[6]) < 60) & ((half == "") | (p[4] != ""))
+        return F.when(ok, F.unix_micros(F.try_make_timestamp(year, month, p[3].try_cast("int"), hour, number(p[5]), exact, zone)))
+
+    def read(p: Column) -> Column:
+        def rest(t: Column) -> Column:
+            half = F.upper(F.regexp_extract(t, r"^([AaPp][Mm])\b", 1))
+            return _let(F.trim(F.regexp_replace(t, r"^[AaPp][Mm]\b", "")), lambda z: at(p, half, F.when(z == "", default).otherwise(_zone(z))))
+
+        return F.when(p[8] == "", at(p, F.lit(""), default)).otherwise(rest(F.trim(p[8])))
+
+    return _let(F.split(parts, r"\|", 9), read)
 
 
 def readings(text: Column, zone: Column, day_first: bool | None = True) -> Column:
@@ -105,17 +125,23 @@ def readings(text: Column, zone: Column, day_first: bool | None = True) -> Colum
     ``day_first``: whether the day comes first in numeric dates whose year is last; ``None`` gives both readings.
     Twelve digits may be a minute or milliseconds; other counts of digits have one meaning.
     """
-    v = F.trim(F.regexp_replace(F.translate(text, WIDE, NARROW), r"\s+", " "))
     default = F.coalesce(F.when(zone.isin(sorted(zoneinfo.available_timezones())), zone), F.lit("UTC"))
-    used = [n for n in FORMATS if n not in ({True: ("mdy",), False: ("dmy",), None: ()}[day_first])]
-    written_ = F.array_compact(F.array(*(F.when(v.rlike(FORMATS[n][0]), F.concat(F.lit(f"{CODES[n]}|"), F.regexp_replace(v, *FORMATS[n]))) for n in used)))
+    left_out = {True: ("mdy",), False: ("dmy",), None: ()}[day_first]
     state = lambda us, fmt, cost: F.struct(us.alias("us"), fmt.cast("int").alias("fmt"), cost.alias("cost"))
-    dated = F.transform(written_, lambda w: state(_instant(F.substring_index(w, "|", -8), default), F.substring_index(w, "|", 1), F.lit(0.0)))
-    epoch = F.array_compact(F.array(
-        F.when(v.rlike(r"^\d{9,10}$"), state(v.try_cast("bigint") * 1_000_000, F.lit(CODES["epoch_s"]), F.lit(0.0))),
-        F.when(v.rlike(r"^\d{12,13}$"), state(v.try_cast("bigint") * 1_000, F.lit(CODES["epoch_ms"]), F.when(F.length(v) == 12, 0.5).otherwise(0.0))),
-    ))
-    return F.filter(F.concat(dated, epoch), lambda s: s["us"].isNotNull())
+
+    def read(v: Column) -> Column:
+        forms = F.array().cast("array<string>")
+        for shape, names in reversed(SHAPES):
+            forms = F.when(v.rlike(shape), F.array(*(F.regexp_replace(v, FORMATS[n][0], f"{CODES[n]}|{FORMATS[n][1]}") for n in names if n not in left_out))).otherwise(forms)
+        dated = F.transform(F.filter(forms, lambda w: w != v), lambda w: state(_instant(w, default), F.substring_index(w, "|", 1), F.lit(0.0)))
+        epoch = F.array(
+            F.when(v.rlike(r"^\d{9,10}$"), state(v.try_cast("bigint") * 1_000_000, F.lit(CODES["epoch_s"]), F.lit(0.0)))
+            .when(v.rlike(r"^\d{12,13}$"), state(v.try_cast("bigint") * 1_000, F.lit(CODES["epoch_ms"]), F.when(F.length(v) == 12, 0.5).otherwise(0.0)))
+        )
+        both = F.when(v.rlike(r"^\d{9,13}$"), F.array_compact(F.concat(dated, epoch))).otherwise(dated)
+        return F.filter(both, lambda s: s["us"].isNotNull())
+
+    return _let(F.trim(F.regexp_replace(F.translate(text, WIDE, NARROW), r"\s+", " ")), read)
 
 
 def instant(text: Column, zone: Column) -> Column:
@@ -132,75 +158,37 @@ def step_cost(before: tuple[int, int], after: tuple[int, int]) -> float:
     return cost
 
 
-class _Chain:
-    """The records of one source in one partition that Viterbi has to look at: those with more than one
-    reading, their neighbours, the first and the last.  Records between add the same to every path."""
-
-    def __init__(self) -> None:
-        self.kept: list[tuple[int, list[tuple[int, int, float]]]] = []
-        self.last: tuple[int, list] | None = None
-        self.n = 0
-
-    def add(self, states: list[tuple[int, int, float]]) -> None:
-        now = (self.n, states)
-        before = self.kept[-1] if self.kept else None
-        if len(states) > 1 and self.last is not None and (before is None or before[0] != self.last[0]):
-            self.kept.append(self.last)
-        if len(states) > 1 or not self.kept or (self.last is not None and len(self.last[1]) > 1):
-            self.kept.append(now)
-        self.last = now
-        self.n += 1
-
-    def sequence(self) -> list[tuple[int, list]]:
-        if self.last is not None and self.kept[-1][0] != self.last[0]:
-            return [*self.kept, self.last]
-        return self.kept
-
-    def paths(self, entry: int) -> list[list[tuple[float, int]]]:
-        """Viterbi from one state of the first record: per record and state the cost and the state before."""
-        seq = self.sequence()
-        table = [[(s[2] if k == entry else math.inf, -1) for k, s in enumerate(seq[0][1])]]
-        for (i, a), (j, b) in zip(seq, seq[1:]):
-            row = []
-            for s in b:
-                costs = [table[-1][k][0] + (step_cost(p[:2], s[:2]) if j == i + 1 or len(a) > 1 or len(b) > 1 else 0.0) for k, p in enumerate(a)]
-                k = min(range(len(a)), key=lambda x: (costs[x], x))
-                row.append((costs[k] + s[2], k))
-            table.append(row)
-        return table
-
-
-def _chains(frames: list[pd.DataFrame]) -> dict[str, _Chain]:
-    chains: dict[str, _Chain] = {}
-    for f in frames:
-        for source, n, us, fmt, alt in zip(f["source"], f["n"], f["us0"], f["fmt0"], f["alt"]):
-            if n:
-                chains.setdefault(source, _Chain()).add([(int(us), int(fmt), 0.0)] if n == 1 else [(int(x["us"]), int(x["fmt"]), float(x["cost"])) for x in alt])
-    return chains
-
-
-def _summary(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    out = []
-    for source, c in _chains(_unique(frames)).items():
-        seq = c.sequence()
-        first, last = seq[0][1], seq[-1][1]
-        through = [[x[0] for x in c.paths(k)[-1]] for k in range(len(first))]
-        out.append((source, TaskContext.get().partitionId(), [float(x) for row in through for x in row], [list(map(float, s)) for s in first], [list(map(float, s)) for s in last]))
-    yield pd.DataFrame(out, columns=["source", "pid", "through", "first", "last"])
-
-
-def _unique(frames: Iterator[pd.DataFrame]) -> list[pd.DataFrame]:
-    """Copies of a record stand side by side; all but the first go."""
-    out, before = [], None
-    for f in frames:
-        if not len(f):
-            continue
-        same = (f["source"] == f["source"].shift()) & (f["key"] == f["key"].shift())
-        if before is not None:
-            same.iloc[0] = (f["source"].iloc[0], f["key"].iloc[0]) == before
-        before = (f["source"].iloc[-1], f["key"].iloc[-1])
-        out.append(f[~same.to_numpy()])
-    return out
+Sequence = list[tuple[int, list[tuple[int, int, float]]]]
+
+
+def paths(seq: Sequence, entry: int) -> list[list[tuple[float, int]]]:
+    """Viterbi from one state of the first record: per record and state the cost and the state before.
+
+    ``seq``: (place, states) of the records looked at, in order.  Between two that are not neighbours only records
+    with one reading were left out, which cost every path the same.
+    """
+    table = [[(s[2] if k == entry else math.inf, -1) for k, s in enumerate(seq[0][1])]]
+    for (i, a), (j, b) in zip(seq, seq[1:]):
+        row = []
+        for s in b:
+            costs = [table[-1][k][0] + (step_cost(p[:2], s[:2]) if j == i + 1 else 0.0) for k, p in enumerate(a)]
+            k = min(range(len(a)), key=lambda x: (costs[x], x))
+            row.append((costs[k] + s[2], k))
+        table.append(row)
+    return table
+
+
+def _sequence(f: pd.DataFrame) -> Sequence:
+    return [(int(i), [(int(x["us"]), int(x["fmt"]), float(x["cost"])) for x in states]) for i, states in zip(f["i"], f["states"])]
+
+
+def _summary(f: pd.DataFrame) -> pd.DataFrame:
+    """The cheapest way through one partition of a source, for each state it is entered in and left in."""
+    f = f.sort_values("i")
+    seq = _sequence(f)
+    first, last = seq[0][1], seq[-1][1]
+    through = [x[0] for k in range(len(first)) for x in paths(seq, k)[-1]]
+    return pd.DataFrame({"source": [f["source"].iloc[0]], "pid": [f["pid"].iloc[0]], "through": [through], "first": [[list(map(float, s)) for s in first]], "last": [[list(map(float, s)) for s in last]]})
 
 
 def choose_ends(rows: list[tuple[int, list[float], list[list[float]], list[list[float]]]]) -> dict[int, tuple[int, int]]:
@@ -232,54 +220,47 @@ def choose_ends(rows: list[tuple[int, list[float], list[list[float]], list[list[
 def resolve(df: DataFrame, order: str = "ord", states: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(source, key, ``keep``, us) of ``df``(source, key, ``order``, more): Viterbi's choice among ``states``.
 
-    ``states`` (:data:`STATES`; the column of that name if not given) is worked out once the rows are in order, as
-    finding the ranges reads ``df`` a second time.  Records with one key are copies.  ``order`` gives the record order
-    within a source, ties by key.
+    ``states`` (:data:`STATES`) is worked out once for each record; the column of that name is taken if not given.
+    Rows equal in all columns are one record.  ``order`` gives the record order within a source, ties by key.
     """
-    extra = list(keep)
-    ordered = df.repartitionByRange("source", order, "key").sortWithinPartitions("source", order, "key")
-    if states is not None:
-        ordered = ordered.withColumn("states", F.coalesce(states, F.array().cast(STATES)))
-    sorted_ = checkpointed(
-        ordered.select(
-            "source", "key", order, *extra,
-            F.size("states").alias("n"), F.get("states", F.lit(0))["us"].alias("us0"), F.get("states", F.lit(0))["fmt"].alias("fmt0"),
-            F.when(F.size("states") > 1, F.col("states")).alias("alt"),
-        )
+    extra = list(dict.fromkeys(keep))
+    rows = df.distinct().withColumn("states", F.coalesce(states if states is not None else F.col("states"), F.array().cast(STATES)))
+    n = F.size("states")
+    stated = written(
+        rows.select("source", "key", *([] if order in ("source", "key", *extra) else [order]), *extra, "states").select(
+            "*", n.alias("n"), F.monotonically_increasing_id().alias("rid"), F.get("states", F.lit(0))["us"].alias("us0")
+        ).withColumn("states", F.when(F.col("n") > 0, F.col("states"))), "readings",
     )
-    rows = sorted_.select("source", "key", "n", "us0", "fmt0", "alt").mapInPandas(
-        _summary, "source string, pid int, through array<double>, first array<array<double>>, last array<array<double>>"
-    ).collect()  # one row for each source and partition
+    plain = lambda x: x.select("source", "key", *extra, F.col("us0").alias("us"))
+    if stated.filter("n > 1").limit(1).count() == 0:
+        return plain(stated)
+    # the place of each record in its range partition, and whether a neighbour leaves a choice
+    ranged = stated.filter("n > 0").repartitionByRange("source", order, "key").withColumn("pid", F.spark_partition_id())
+    within = W.partitionBy("source", "pid").orderBy(order, "key", "rid")
+    around = (
+        ranged.withColumn("i", F.row_number().over(within)).withColumn("before", F.lag("n").over(within)).withColumn("after", F.lead("n").over(within))
+        .filter("n > 1 or before is null or after is null or before > 1 or after > 1")
+    )
+    looked = written(around.select("source", "pid", "i", "rid", "n", "states"), "choices")  # ranges are drawn anew if asked again
+    groups = looked.groupBy("source", "pid")
+    ways = groups.applyInPandas(_summary, "source string, pid int, through array<double>, first array<array<double>>, last array<array<double>>").collect()  # one row for each source and partition
     ends: dict[tuple[str, int], tuple[int, int]] = {}
-    for source in {r.source for r in rows}:
-        ends |= {(source, pid): e for pid, e in choose_ends([(r.pid, r.through, r.first, r.last) for r in rows if r.source == source]).items()}
-    schema = T.StructType([sorted_.schema["source"], sorted_.schema["key"], *(sorted_.schema[c] for c in extra), T.StructField("us", T.LongType())])
-
-    def fix(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = _unique(frames)
-        pid = TaskContext.get().partitionId()
-        chosen: dict[str, dict[int, int]] = {}
-        for source, c in _chains(frames).items():
-            a, b = ends[source, pid]
-            seq, table = c.sequence(), c.paths(a)
-            picks = chosen[source] = {}
-            for k in range(len(seq) - 1, -1, -1):
-                picks[seq[k][0]] = seq[k][1][b][0]
-                b = table[k][b][1]
-        at: dict[str, int] = {}
-        for f in frames:
-            us = f["us0"].astype("Int64")
-            if (f["n"] > 1).any():
-                us = us.copy()
-            for source, g in f.groupby("source", sort=False):
-                live = (g["n"] > 0).to_numpy()
-                number = live.cumsum() - 1 + at.get(source, 0)
-                at[source] = at.get(source, 0) + int(live.sum())
-                for i in (g["n"] > 1).to_numpy().nonzero()[0]:
-                    us.loc[g.index[i]] = chosen[source][number[i]]
-            yield f[["source", "key", *extra]].assign(us=us)
-
-    return sorted_.select("source", "key", *extra, "n", "us0", "fmt0", "alt").mapInPandas(fix, schema)
+    for source in {r.source for r in ways}:
+        ends |= {(source, pid): e for pid, e in choose_ends([(r.pid, r.through, r.first, r.last) for r in ways if r.source == source]).items()}
+
+    def fix(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("i")
+        a, b = ends[f["source"].iloc[0], int(f["pid"].iloc[0])]
+        seq = _sequence(f)
+        table, picks = paths(seq, a), []
+        for k in range(len(seq) - 1, -1, -1):
+            picks.append(seq[k][1][b][0])
+            b = table[k][b][1]
+        return pd.DataFrame({"rid": f["rid"], "us": picks[::-1]})[(f["n"] > 1).to_numpy()]
+
+    chosen = groups.applyInPandas(fix, "rid bigint, us bigint").withColumnRenamed("us", "chosen")
+    several = stated.filter("n > 1").join(chosen, "rid").select("source", "key", *extra, F.col("chosen").alias("us"))
+    return plain(stated.filter("n <= 1")).unionByName(several)
 
 
 def strict(text: Column) -> Column:
