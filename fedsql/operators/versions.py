@@ -1,11 +1,12 @@
 """Versioned tables of immutable files, and processing just what changed.
 
 A table is a folder of Parquet files and numbered manifests.  Manifest *n*
-lists the files of version *n*, each with the positions of rows deleted from
-it (a deletion vector), and what its writer wants remembered, such as the
-version of a source that it has taken in.  A manifest appears under its name
-in one step or not at all, and never changes: a run that dies before leaves
-files that no manifest names, and the next run starts from the same version.
+lists the files of version *n*, each with the names of its deletion vectors
+(Parquet tables of file and position, written once), and what its writer wants
+remembered, such as the version of a source that it has taken in.  A manifest
+appears under its name in one step or not at all, and never changes: a run that
+dies before leaves files that no manifest names, and the next run starts from
+the same version.  The driver holds names of files, never positions.
 
 :func:`delta` diffs two manifests into added files, removed files and newly
 deleted rows, and so into record deltas of sign +1 and -1.  :func:`run_once`
@@ -20,10 +21,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 
 class Conflict(Exception):
@@ -33,8 +34,8 @@ class Conflict(Exception):
 @dataclass(frozen=True)
 class Manifest:
     version: int
-    #: file -> sorted positions of its deleted rows
-    files: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    #: file -> names of its deletion vectors
+    files: dict[str, tuple[str, ...]] = field(default_factory=dict)
     meta: dict = field(default_factory=dict)
 
 
@@ -67,22 +68,40 @@ class VersionedTable:
         raw = json.loads(text)
         return Manifest(version, {k: tuple(v) for k, v in raw["files"].items()}, raw["meta"])
 
-    def commit(self, files: dict[str, tuple[int, ...]], meta: dict, base: int) -> int:
+    def commit(self, files: dict[str, tuple[str, ...]], meta: dict, base: int) -> int:
         """Makes version ``base`` + 1; :class:`Conflict` if it is there already."""
         version = base + 1
         self._fs.mkdirs(self._jpath(f"{self.path}/_manifests"))
-        draft = self._jpath(f"{self.path}/_drafts/{version:012d}-{id(files):x}-{self._jvm.java.util.UUID.randomUUID()}.json")
+        draft = self._jpath(f"{self.path}/_drafts/{version:012d}-{self._jvm.java.util.UUID.randomUUID()}.json")
         out = self._fs.create(draft, True)
         out.write(bytearray(json.dumps({"files": {k: list(v) for k, v in files.items()}, "meta": meta}).encode()))
         out.close()
-        target = self._jpath(self._name(version))
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
+        if not self._publish(draft, self._jpath(self._name(version))):
+            self._fs.delete(draft, False)
             raise Conflict(version)
         return version
 
-    def write_files(self, df: DataFrame, by: str | None = None) -> list[str]:
+    def _publish(self, draft, target) -> bool:  # noqa: ANN001
+        """Gives the draft its name in one step that fails if the name is taken: of two writers, one wins."""
+        try:
+            if self._fs.getUri().getScheme() == "file":  # here a rename replaces, but a link does not
+                java = self._jvm.java.nio.file.Paths
+                local = lambda p: java.get(p.toUri())
+                self._jvm.java.nio.file.Files.createLink(local(self._fs.makeQualified(target)), local(self._fs.makeQualified(draft)))
+                self._fs.delete(draft, False)
+            else:
+                context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+                none = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                context.rename(draft, target, none)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        return True
+
+    def write_files(self, df: DataFrame, by: str | None = None, under: str = "data") -> list[str]:
         """Writes ``df`` as new files, one folder for each value of ``by``, and gives their names under the table's folder; commits nothing."""
-        folder = f"data/{self._jvm.java.util.UUID.randomUUID()}"
+        folder = f"{under}/{self._jvm.java.util.UUID.randomUUID()}"
         w = df.write.option("compression", "zstd")
         (w.partitionBy(by) if by else w).parquet(f"{self.path}/{folder}")
         found, it = [], self._fs.listFiles(self._jpath(f"{self.path}/{folder}"), True)
@@ -98,43 +117,43 @@ class VersionedTable:
         return self.commit(old.files | {f: () for f in self.write_files(df)}, meta or {}, base)
 
     def delete(self, condition: str, meta: dict | None = None) -> int:
-        """Marks matching rows in deletion vectors; a file none of whose rows is left is removed."""
+        """Writes a deletion vector of the matching rows; a file none of whose rows is left is removed."""
         base = self.latest()
-        old = self.manifest(base)
-        live = self.read_files(old.files, position=True)
-        files = dict(old.files)
-        sizes = {r.file: r.n for r in self.read_files({f: () for f in files}, position=True).groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()} if files else {}
-        hit = live.filter(condition).groupBy("file").agg(F.collect_list("pos").alias("pos")).collect() if files else []
-        for r in hit:
-            gone = tuple(sorted({*files[r.file], *r.pos}))
-            if len(gone) == sizes[r.file]:
-                del files[r.file]
-            else:
-                files[r.file] = gone
+        files = dict(self.manifest(base).files)
+        if files:
+            live = self.read_files(files, position=True)
+            hits = self.write_files(live.filter(condition).select("file", "pos"), under="vectors")
+            name = hits[0].rsplit("/", 1)[0] if hits else ""
+            hit = {r.file: r.n for r in self._vectors([name]).groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()} if name else {}  # one row for each file
+            had = {r.file: r.n for r in self.read_files({f: files[f] for f in hit}, position=True).groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()} if hit else {}
+            for f, n in hit.items():
+                if n == had[f]:
+                    del files[f]
+                else:
+                    files[f] = (*files[f], name)
         return self.commit(files, meta or {}, base)
 
-    def read_files(self, files: dict[str, tuple[int, ...]], position: bool = False, only: bool = False) -> DataFrame:
-        """Rows of files without the rows at the given positions; with ``only``, just those."""
+    def _vectors(self, names: list[str]) -> DataFrame:
+        """(vector, file, pos) of deletion vectors."""
+        df = self.spark.read.schema("file string, pos bigint").parquet(*(f"{self.path}/{n}" for n in names))
+        return df.select(F.regexp_extract(F.col("_metadata.file_path"), r"(vectors/[^/]+)/[^/]*$", 1).alias("vector"), "file", "pos")
+
+    def read_files(self, files: dict[str, tuple[str, ...]], position: bool = False, only: bool = False) -> DataFrame:
+        """Rows of files without those in the vectors named for each; with ``only``, just those."""
         schema = T.StructType([*self.schema.fields, T.StructField("file", T.StringType()), T.StructField("pos", T.LongType())]) if position else self.schema
-        if not files:
+        pairs = [(v, f) for f, names in files.items() for v in names]
+        if not files or (only and not pairs):
             return self.spark.createDataFrame([], schema)
         df = self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{f}" for f in files))
-        vectors = [(f, list(p)) for f, p in files.items() if p]
-        if position or vectors:
-            name = F.regexp_extract(F.col("_metadata.file_path"), r"(data/[^/]+/.*)$", 1)
-            df = df.select(*(F.col(f"`{c}`") for c in self.schema.fieldNames()), name.alias("file"), F.col("_metadata.row_index").alias("pos"))
-            if vectors:  # metadata of the table, one row for each file with deletions
-                dv = self.spark.createDataFrame(vectors, "dv_file string, gone array<bigint>")
-                df = df.join(dv, F.col("file") == F.col("dv_file"), "left")
-                hit = F.coalesce(F.array_contains("gone", F.col("pos")), F.lit(False))
-                df = df.filter(hit if only else ~hit).drop("dv_file", "gone")
-            elif only:
-                df = df.limit(0)
-            if not position:
-                df = df.drop("file", "pos")
-        elif only:
-            df = df.limit(0)
-        return df
+        if not position and not pairs:
+            return df
+        name = F.regexp_extract(F.col("_metadata.file_path"), r"(data/[^/]+/.*)$", 1)
+        df = df.select(*(F.col(f"`{c}`") for c in self.schema.fieldNames()), name.alias("__file"), F.col("_metadata.row_index").alias("__pos"))
+        if pairs:  # names of files; the positions stay in their tables
+            named = self.spark.createDataFrame(pairs, "vector string, file string")
+            gone = self._vectors(sorted({v for v, _ in pairs})).join(named, ["vector", "file"], "left_semi").select("file", "pos")
+            df = df.join(gone, (F.col("__file") == gone["file"]) & (F.col("__pos") == gone["pos"]), "left_semi" if only else "left_anti")
+        return df.withColumnsRenamed({"__file": "file", "__pos": "pos"}) if position else df.drop("__file", "__pos")
 
     def read(self, version: int | None = None) -> DataFrame:
         return self.read_files(self.manifest(self.latest() if version is None else version).files)
@@ -151,34 +170,41 @@ class VersionedTable:
 
 
 def diff(a: Manifest, b: Manifest) -> tuple[dict, dict, dict, dict]:
-    """(added files, removed files, rows newly deleted in kept files, rows restored), each file -> positions."""
+    """(added files, removed files, rows newly deleted in kept files, rows restored), each file -> vectors."""
     kept = [f for f in a.files if f in b.files]
+    less = lambda x, y: tuple(v for v in x if v not in y)
     return (
         {f: v for f, v in b.files.items() if f not in a.files},
         {f: v for f, v in a.files.items() if f not in b.files},
-        {f: v for f in kept if (v := tuple(sorted({*b.files[f]} - {*a.files[f]})))},
-        {f: v for f in kept if (v := tuple(sorted({*a.files[f]} - {*b.files[f]})))},
+        {f: v for f in kept if (v := less(b.files[f], a.files[f]))},
+        {f: v for f in kept if (v := less(a.files[f], b.files[f]))},
     )
 
 
+def net(deltas: DataFrame) -> DataFrame:
+    """The rows that are more often added than taken away, once each."""
+    columns = [c for c in deltas.columns if c != "sign"]
+    return deltas.groupBy(*(F.col(f"`{c}`") for c in columns)).agg(F.sum("sign").alias("sign")).filter("sign > 0").drop("sign")
+
+
 def processed(out: VersionedTable) -> int:
     """The source's version that the output's last commit has taken in."""
     return int(out.manifest(out.latest()).meta.get("processed", 0))
 
 
-def run_once(source: VersionedTable, out: VersionedTable, step: Callable[[DataFrame], DataFrame]) -> tuple[int, int] | None:
-    """Processes the deltas since the last successful run; (from, to), or None if there are none.
+def run_once(source: VersionedTable, out: VersionedTable, step: Callable[[DataFrame], DataFrame], to: int | None = None, meta: dict | None = None) -> tuple[int, int] | None:
+    """Processes the deltas since the last successful run, up to version ``to`` (the newest); (from, to), or None if there are none.
 
     The rows and the processed version become visible in one commit.  Should the run fail anywhere
     before, nothing is visible and the next run takes the same deltas; should two runs race, one gets
     :class:`Conflict` and its files stay unnamed.
     """
     base = out.latest()
-    start, end = processed(out), source.latest()
+    start, end = processed(out), source.latest() if to is None else to
     if start == end:
         return None
     files = out.write_files(step(source.delta(start, end)))
-    out.commit(out.manifest(base).files | {f: () for f in files}, {"processed": end}, base)
+    out.commit(out.manifest(base).files | {f: () for f in files}, {**(meta or {}), "processed": end}, base)
     return start, end
 
 
@@ -186,58 +212,45 @@ NEVER = -(2**63)
 
 
 def replay(feed: DataFrame, runs: list[tuple[int, object, bool]], arrived: str, key: str, modified: str, root: str) -> VersionedTable:
-    """Past runs over a feed of states, replayed from manifests: a table (run_no, key) of what each took.
+    """Logged runs over a feed of states, each by :func:`run_once`: a table (run_no, key, m) of what each took.
 
     ``runs``: (number, start, whether it succeeded), a fixed small log.  Before each run the feed's table has a
     version with all rows that arrived before its start; a run takes in the difference between the version it
-    sees and the one the last successful run's commit has saved.  Of these rows, it takes a key that no run took
+    sees and the one that the output's last commit has saved.  Of these rows, it takes a key that no run took
     before, or whose latest ``modified`` it reads is later than all taken before; null is earlier than any.
-    All versions are written in one job, and the takings of all runs in another; each run's commit then names
-    its files and saves the version it has processed.
+    ``m``, that time, is the output's own record of what was taken.  A failed run commits nothing, so the next
+    one finds the version processed where it was.
 
     Null keys are no records.  Rows at or after the last start, or without ``arrived``, are not read by any run.
     """
     spark = feed.sparkSession
     runs = sorted(runs, key=lambda r: (r[1], r[0]))
-    schema = feed.select(key, modified).schema
-    source = VersionedTable(spark, f"{root}/feed", schema)
-    taken = VersionedTable(spark, f"{root}/taken", T.StructType([T.StructField("run_no", T.LongType()), T.StructField(key, schema[0].dataType)]))
+    time = F.unix_micros(modified) if isinstance(feed.schema[modified].dataType, T.TimestampType) else F.col(modified).cast("bigint")
+    states = feed.filter(F.col(arrived).isNotNull() & F.col(key).isNotNull()).select(key, F.coalesce(time, F.lit(NEVER)).alias("m"), arrived)
+    source = VersionedTable(spark, f"{root}/feed", states.select(key, "m").schema)
+    taken = VersionedTable(spark, f"{root}/taken", T.StructType([T.StructField("run_no", T.LongType()), states.schema[key], T.StructField("m", T.LongType())]))
     if not runs:
         return taken
     starts = F.array(*(F.lit(r[1]) for r in runs))
     # the first version that has a row: one more than the number of starts up to its arrival
     version = F.aggregate(starts, F.lit(1), lambda n, s: n + F.when(s <= F.col(arrived), 1).otherwise(0))
-    rows = feed.filter(F.col(arrived).isNotNull() & F.col(key).isNotNull()).select(key, modified, version.alias("version")).filter(F.col("version") <= len(runs))
+    rows = states.select(key, "m", version.alias("version")).filter(F.col("version") <= len(runs))
     by_version: dict[int, list[str]] = {}
-    for f in source.write_files(rows, "version"):
+    for f in source.write_files(rows.repartitionByRange("version", key), "version"):  # few files, and a large version in several
         by_version.setdefault(int(f.split("version=")[1].split("/")[0]), []).append(f)
-    files: dict[str, tuple[int, ...]] = {}
+    files: dict[str, tuple[str, ...]] = {}
     for v in range(1, len(runs) + 1):
         files = files | {f: () for f in by_version.get(v, [])}
         source.commit(files, {}, v - 1)
-    at, deltas, seen = 0, [], {0: Manifest(0)}
-    for v, (number, _, ok) in enumerate(runs, 1):
-        if ok:
-            seen[v] = source.manifest(v)
-            added, *_ = diff(seen[at], seen[v])
-            deltas += [(f, number, v) for f in added]
-            at = v
-    base = spark.read.schema(schema).parquet(*(f"{source.path}/{f}" for f, _, _ in deltas)) if deltas else spark.createDataFrame([], schema)
-    log = spark.createDataFrame(deltas, "of string, run_no bigint, v int")
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"(data/[^/]+/.*)$", 1) if deltas else F.lit("")
-    latest = (
-        base.withColumn("of", name).join(log, "of")
-        .groupBy(key, "v", "run_no").agg(F.max(F.coalesce(F.unix_micros(modified) if isinstance(schema[1].dataType, T.TimestampType) else F.col(modified).cast("bigint"), F.lit(NEVER))).alias("m"))
-    )
-    order = W.partitionBy(key).orderBy("v")  # at most one row for each run
-    before = F.max("m").over(order.rowsBetween(W.unboundedPreceding, -1))
-    takes = latest.withColumn("before", before).filter("before is null or m > before").select("run_no", key, F.col("run_no").alias("of_run"))
-    out: dict[int, list[str]] = {}
-    for f in taken.write_files(takes, "of_run"):
-        out.setdefault(int(f.split("of_run=")[1].split("/")[0]), []).append(f)
-    files = {}
+
     for v, (number, _, ok) in enumerate(runs, 1):
-        if ok:
-            files = files | {f: () for f in out.get(number, [])}
-            taken.commit(files, {"processed": v, "run": number}, taken.latest())
+        if not ok:
+            continue
+
+        def step(deltas: DataFrame, number: int = number) -> DataFrame:
+            latest = net(deltas).groupBy(key).agg(F.max("m").alias("m"))
+            before = taken.read().groupBy(key).agg(F.max("m").alias("before"))
+            return latest.join(before, key, "left").filter("before is null or m > before").select(F.lit(number).cast("bigint").alias("run_no"), key, "m")
+
+        run_once(source, taken, step, v, {"run": number})
     return taken
