@@ -1,19 +1,18 @@
 """References to records that do not exist, from signed counts.
 
 Changes are deltas of sign +1 and -1: a reference appears or goes, a target
-comes to life or dies.  :class:`Ledger` adds deltas up to counts per key;
-keys with positive references and zero existence are the current orphans.
-:func:`orphans_at` asks the same for each reference at its own time: counts
-of references and of existence are summed by key and day, existence is
-carried forward over a key's days, and only days with positive references on
-which existence is too little at some time go on; of these the deltas of the
-reference's own day are looked at one by one.  A key with a third of all
-references is spread over its days, and no row's work grows with the key's
-number of lives.
+comes to life or dies.  :class:`Ledger` adds deltas up to counts per table,
+key and day; keys with positive references and zero existence are the current
+orphans.  For references at their own time (:func:`orphans_at`) the ledger's
+existence is carried forward over a key's days, and only days with positive
+references on which existence is too little at some time go on; of these the
+deltas of the reference's own day are looked at one by one.  A key with a
+third of all references is spread over its days, all tables go through one
+ledger at once, and no row's work grows with the key's number of lives.
 
 Defined results: null keys and times make no reference; a life without a
-beginning, or that ends no later than it begins, never covers a time; copies
-of a life count once.
+beginning, or that ends no later than it begins, never covers a time, but its
+target is known; copies of a life count once.
 """
 
 from __future__ import annotations
@@ -22,83 +21,97 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+MOVES = "array<struct<ts: timestamp, sign: int>>"
+
 
 class Ledger:
-    """Counts per (table_name, period, key) that deltas are added to."""
+    """Counts per (table_name, key, day) that deltas are added to.
 
-    COLUMNS = ("table_name", "period", "key", "refs", "exist")
+    ``refs`` and ``exist`` are signed sums of that day's deltas, ``targets`` the target rows that first show that day,
+    ``moves`` the day's single changes of existence; changes without a time are under a null day, before all others.
+    """
 
     def __init__(self, state: DataFrame | None = None) -> None:
         self.state = state
 
     def apply(self, references: DataFrame | None = None, existence: DataFrame | None = None) -> Ledger:
-        """references: (table_name, period, key, sign); existence: (table_name, key, sign), the period null."""
-        parts = [] if self.state is None else [self.state]
+        """references: (table_name, key, ts, sign); existence: (table_name, key, ts, sign, targets)."""
+        zero = F.lit(0)
+        parts = []
         if references is not None:
-            parts.append(references.select("table_name", "period", "key", F.col("sign").cast("bigint").alias("refs"), F.lit(0).cast("bigint").alias("exist")))
+            parts.append(references.select("table_name", "key", F.to_date("ts").alias("day"), F.col("sign").alias("refs"), zero.alias("exist"), zero.alias("targets"), F.lit(None).cast("timestamp").alias("ts")))
         if existence is not None:
-            parts.append(existence.select("table_name", F.lit(None).cast("string").alias("period"), "key", F.lit(0).cast("bigint").alias("refs"), F.col("sign").cast("bigint").alias("exist")))
-        both = parts[0]
-        for p in parts[1:]:
-            both = both.unionByName(p)
-        return Ledger(both.groupBy("table_name", "period", "key").agg(F.sum("refs").alias("refs"), F.sum("exist").alias("exist")).filter("refs <> 0 or exist <> 0"))
+            parts.append(existence.select("table_name", "key", F.to_date("ts").alias("day"), zero.alias("refs"), F.col("sign").alias("exist"), "targets", "ts"))
+        if not parts:
+            return self
+        both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        count = lambda c: F.sum(F.col(c).cast("bigint")).alias(c)
+        moved = F.when(F.col("exist") != 0, F.struct("ts", F.col("exist").cast("int").alias("sign")))
+        new = both.groupBy("table_name", "key", "day").agg(count("refs"), count("exist"), count("targets"), F.collect_list(moved).cast(MOVES).alias("moves"))
+        if self.state is not None:
+            new = self.state.unionByName(new).groupBy("table_name", "key", "day").agg(count("refs"), count("exist"), count("targets"), F.flatten(F.collect_list("moves")).alias("moves"))
+        return Ledger(new)
 
     def orphans(self) -> DataFrame:
-        """(table_name, period, key, refs) of keys with references and no existence."""
-        exist = self.state.groupBy("table_name", "key").agg(F.sum("exist").alias("exist")).filter("exist > 0")
-        return self.state.filter("refs > 0").join(exist, ["table_name", "key"], "left_anti").select("table_name", "period", "key", "refs")
-
-
-def deltas_of_lives(lives: DataFrame, key: Column, begin: Column, end: Column) -> DataFrame:
-    """(key, ts, sign): +1 at a life's begin, -1 at its end.  Lives that cover no time give none."""
-    own = lives.select(key.alias("key"), begin.alias("begin"), end.alias("end")).filter("key is not null and begin is not null and (end is null or end > begin)").distinct()
-    return own.select("key", F.inline(F.array_compact(F.array(
-        F.struct(F.col("begin").alias("ts"), F.lit(1).alias("sign")),
-        F.when(F.col("end").isNotNull(), F.struct(F.col("end").alias("ts"), F.lit(-1).alias("sign"))),
+        """(table_name, period, key, refs): the references, by UTC month, of keys that have some and no existence now."""
+        now = W.partitionBy("table_name", "key")
+        return (
+            self.state.withColumn("exists", F.sum("exist").over(now)).filter("exists <= 0").groupBy("table_name", F.date_format("day", "yyyy-MM").alias("period"), "key")
+            .agg(F.sum("refs").alias("refs")).filter("refs > 0")
+        )
+
+    def orphan_days(self) -> DataFrame:
+        """(table_name, key, day, carry, begun, known, moves) of days with positive references and existence too little at some time.
+
+        ``carry`` is the existence the day begins with, ``begun`` whether a life began before, ``known`` whether any
+        row of the target is there.
+        """
+        key = W.partitionBy("table_name", "key").orderBy(F.asc_nulls_first("day"))
+        before = key.rowsBetween(W.unboundedPreceding, -1)
+        births = F.exists("moves", lambda x: x["sign"] > 0)
+        return (
+            self.state.withColumn("carry", F.coalesce(F.sum("exist").over(before), F.lit(0)))
+            .withColumn("begun", F.coalesce(F.max(births).over(before), F.lit(False)))
+            .withColumn("known", F.sum("targets").over(key.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) > 0)
+            .filter("refs > 0").filter(least_existence(F.col("carry"), F.col("moves")) <= 0)
+            .select("table_name", "key", "day", "carry", "begun", "known", "moves")
+        )
+
+
+def deltas_of_lives(lives: DataFrame, table_name: str, key: Column, begin: Column, end: Column) -> DataFrame:
+    """(table_name, key, ts, sign, targets): +1 at a life's begin, -1 at its end; a life that covers no time changes nothing but is a target's row."""
+    own = lives.select(key.alias("key"), begin.alias("begin"), end.alias("end")).filter("key is not null").distinct()
+    lasts = F.col("begin").isNotNull() & (F.col("end").isNull() | (F.col("end") > F.col("begin")))
+    one, none = F.lit(1), F.lit(0)
+    return own.select(F.lit(table_name).alias("table_name"), "key", F.inline(F.array_compact(F.array(
+        F.struct(F.when(lasts, F.col("begin")).alias("ts"), F.when(lasts, one).otherwise(none).alias("sign"), one.alias("targets")),
+        F.when(lasts & F.col("end").isNotNull(), F.struct(F.col("end").alias("ts"), F.lit(-1).alias("sign"), none.alias("targets"))),
     ))))
 
 
-def reference_counts(references: DataFrame) -> DataFrame:
-    """(key, day, refs): signed references of each key and day; sign is 1 where references(key, day) has none."""
-    sign = F.col("sign") if "sign" in references.columns else F.lit(1)
-    return references.groupBy("key", "day").agg(F.sum(sign.cast("bigint")).alias("refs"))
-
-
-def least_existence(carry: Column, inside: Column) -> Column:
-    """The least count of existence within a day that begins with carry and has the deltas inside(ts, sign), one for each ts."""
+def least_existence(carry: Column, moves: Column) -> Column:
+    """No more than the least count of existence within a day that begins with carry and has these moves(ts, sign)."""
     state = lambda n, least: F.struct(n.alias("n"), least.alias("least"))
-    steps = F.sort_array(F.coalesce(inside, F.array().cast("array<struct<ts: timestamp, sign: bigint>>")))
-    return F.aggregate(steps, state(carry, carry), lambda s, x: state(s["n"] + x["sign"], F.least(s["least"], s["n"] + x["sign"])))["least"]
+    return F.aggregate(F.sort_array(moves), state(carry, carry), lambda s, x: state(s["n"] + x["sign"], F.least(s["least"], s["n"] + x["sign"])))["least"]
 
 
-def orphans_at(references: DataFrame, lives: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Rows of references(row_id, key, ts; sign, if changes) whose key has no existence at ts, with ``reason``.
+def orphans_at(references: DataFrame, existence: DataFrame) -> DataFrame:
+    """Rows of references(table_name, row_id, key, ts; sign, if changes) whose key has no existence at ts, with ``reason``.
 
-    ``lives`` (key) has every key that the target table has any row for; ``deltas`` as of :func:`deltas_of_lives`.
-    The reason is ``missing`` without any row, ``late`` if all lives begin later, else ``deleted``.
+    ``existence`` as of :func:`deltas_of_lives`.  The reason is ``missing`` without any row of the target, ``late`` if
+    all lives begin later, else ``deleted``.
     """
     refs = references.filter("key is not null and ts is not null")
     if "sign" in refs.columns:  # a reference that went is none
         refs = refs.groupBy(*(c for c in refs.columns if c != "sign")).agg(F.sum("sign").alias("sign")).filter("sign > 0")
-    refs = refs.withColumn("day", F.to_date("ts"))
-    signed = deltas.groupBy("key", "ts").agg(F.sum("sign").alias("sign")).withColumn("day", F.to_date("ts"))
-    daily = signed.groupBy("key", "day").agg(F.sum("sign").alias("net"), F.min("ts").alias("first"), F.collect_list(F.struct("ts", "sign")).alias("inside"))
-    days = daily.join(reference_counts(refs), ["key", "day"], "full")
-    over = W.partitionBy("key").orderBy("day").rowsBetween(W.unboundedPreceding, -1)  # one row for each day
-    carried = (
-        days.withColumn("carry", F.coalesce(F.sum("net").over(over), F.lit(0)))
-        .withColumn("begun", F.min("first").over(over))
-        .filter("refs > 0").filter(least_existence(F.col("carry"), F.col("inside")) <= 0)
-    )
-    known = lives.select(F.col("key")).filter("key is not null").distinct().withColumn("known", F.lit(True))
-    carried = carried.join(known, "key", "left").select(
-        "key", "day", "carry", F.coalesce("known", F.lit(False)).alias("known"), "begun", F.coalesce("inside", F.array().cast("array<struct<ts: timestamp, sign: bigint>>")).alias("inside")
-    )
-    at = refs.join(carried, ["key", "day"])
-    alive = F.col("carry") + F.aggregate("inside", F.lit(0).cast("bigint"), lambda n, x: n + F.when(x["ts"] <= F.col("ts"), x["sign"]).otherwise(0))
-    begun = F.col("begun").isNotNull() | F.exists("inside", lambda x: x["ts"] <= F.col("ts"))
+    else:
+        refs = refs.withColumn("sign", F.lit(1))
+    days = Ledger().apply(refs, existence).orphan_days()
+    at = refs.withColumn("day", F.to_date("ts")).join(days, ["table_name", "key", "day"])
+    alive = F.col("carry") + F.aggregate("moves", F.lit(0).cast("bigint"), lambda n, x: n + F.when(x["ts"] <= F.col("ts"), x["sign"]).otherwise(0))
+    begun = F.col("begun") | F.exists("moves", lambda x: (x["sign"] > 0) & (x["ts"] <= F.col("ts")))
     return (
         at.withColumn("alive", alive).filter("alive <= 0")
         .withColumn("reason", F.when(~F.col("known"), "missing").when(~begun, "late").otherwise("deleted"))
-        .drop("day", "sign", "carry", "known", "begun", "inside", "alive")
+        .drop("day", "sign", "carry", "known", "begun", "moves", "alive")
     )
