@@ -1,10 +1,13 @@
 """Nested records taken apart into flat child tables.
 
 Every node of a record gets a Dewey label: the ordinals on the way to it,
-from the record's root.  Cutting a label's last part gives its parent, and
-nodes with one schema path form one table.  Typed columns are taken apart by
-expressions built from the schema (:func:`shred`); JSON text, whose shape may
-differ from row to row, by a walk over each document (:func:`shred_json`).
+from the record's root.  Cutting a label's last part gives its parent
+(:func:`parents`), cutting it behind its last array gives the element a value
+belongs to and so its place and its owner (:func:`elements`), and nodes with
+one schema path form one table.  Typed columns are taken apart by expressions
+built from the schema, all paths in one pass that reads only their leaves
+(:func:`shred`); JSON text, whose shape may differ from row to row, by a walk
+over each document (:func:`shred_json`).
 
 Defined results: a null struct, array or element has no node, but elements
 after it keep their ordinal; an empty array has no children; text that is no
@@ -14,7 +17,7 @@ valid JSON has no nodes; NaN and Infinity are no valid JSON.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,22 +36,34 @@ def schema_paths(kind: T.DataType, at: tuple[str, ...] = ()) -> dict[str, tuple[
     return {"/".join(at): at}
 
 
-def shred(df: DataFrame, key: Column, path: tuple[str, ...]) -> DataFrame:
-    """The table of one schema path: :data:`NODES` of every value there that is not null.
+def _leaves(at: Column, kind: T.DataType, path: tuple[str, ...]) -> Column:
+    """The values of a path, in arrays nested as those on the path; a field of an array's structs is read by itself."""
+    if not path:
+        return at
+    if path[0] != "[]":
+        return _leaves(at.getField(path[0]), kind[path[0]].dataType, path[1:])
+    if path[1:] and path[1] != "[]":
+        rest = path[2:]
+        field = at.getField(path[1])
+        return F.transform(field, lambda x: _leaves(x, kind.elementType[path[1]].dataType, rest)) if rest else field
+    return F.transform(at, lambda x: _leaves(x, kind.elementType, path[1:])) if path[1:] else at
 
-    The label's parts are a field's place in its struct and an element's place in its array.
-    """
-    kind: T.DataType = df.schema
-    out = df.select(key.cast("string").alias("parent_key"), F.array().cast("array<int>").alias("dewey"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("node"))
-    for part in path:
-        if part == "[]":
-            out = out.select("parent_key", "dewey", F.posexplode("node").alias("pos", "node")).select("parent_key", F.concat("dewey", F.array("pos")).alias("dewey"), "node")
-            kind = kind.elementType
-        else:
-            place = kind.fieldNames().index(part)
-            out = out.select("parent_key", F.concat("dewey", F.array(F.lit(place))).alias("dewey"), F.col("node").getField(part).alias("node"))
-            kind = kind[part].dataType
-    return out.filter("node is not null").select("parent_key", F.lit("/".join(path)).alias("path"), "dewey", F.col("node").cast("string").alias("value"))
+
+def _labelled(at: Column, kind: T.DataType, path: tuple[str, ...], whole: str, label: tuple[Column, ...] = ()) -> Column:
+    """The nodes of a path's :func:`_leaves`, as an array: a label's parts are a field's place in its struct and an element's in its array."""
+    if not path:
+        return F.array(F.struct(F.lit(whole).alias("path"), F.array(*label).alias("dewey"), at.cast("string").alias("value")))
+    if path[0] == "[]":
+        return F.flatten(F.transform(F.coalesce(at, F.array()), lambda x, i: _labelled(x, kind.elementType, path[1:], whole, (*label, i))))
+    return _labelled(at, kind[path[0]].dataType, path[1:], whole, (*label, F.lit(kind.fieldNames().index(path[0]))))
+
+
+def shred(df: DataFrame, key: Column, paths: Sequence[tuple[str, ...]]) -> DataFrame:
+    """:data:`NODES` of every value at the paths that is not null, in one pass.  Records equal in key and leaves are one."""
+    leaves = {f"__{k}": _leaves(F.col(f"`{p[0]}`"), df.schema[p[0]].dataType, p[1:]) for k, p in enumerate(paths)}
+    rows = df.select(key.cast("string").alias("parent_key"), *(c.alias(n) for n, c in leaves.items())).distinct()
+    nodes = F.concat(*(_labelled(F.col(n), df.schema, p, "/".join(p)) for n, p in zip(leaves, paths)))
+    return rows.select("parent_key", F.inline(nodes)).filter("value is not null")
 
 
 class _Raw(str):
@@ -111,5 +126,22 @@ def shred_json(df: DataFrame, key: Column, text: Column, arrays: list[tuple[str,
 
 
 def parents(nodes: DataFrame) -> DataFrame:
-    """Nodes with their parent's label: the own one without its last part."""
-    return nodes.withColumn("parent_dewey", F.slice("dewey", 1, F.greatest(F.size("dewey") - 1, F.lit(0))))
+    """Nodes with their parent's label and path: the own ones without the last part."""
+    cut = lambda c: F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0)))
+    return nodes.withColumn("parent_dewey", cut(F.col("dewey"))).withColumn("parent_path", F.array_join(cut(F.split("path", "/")), "/"))
+
+
+def elements(nodes: DataFrame) -> DataFrame:
+    """Nodes inside arrays with their element, place and owner, from labels alone.
+
+    ``element``: the label cut behind the path's last ``[]``; ``pos``: its last part, the place in the array;
+    ``owner``: the label of what holds the array, that is the element's without its place and the array's own part
+    (empty for the record).  Nodes in no array are left out.
+    """
+    steps = F.reverse(F.split("path", "/"))
+    below = F.array_position(steps, "[]").cast("int")  # parts from the element on down, one for the element itself
+    depth = F.size("dewey") - below + 1
+    return (
+        nodes.withColumn("below", below).filter("below > 0").withColumn("element", F.slice("dewey", 1, depth))
+        .withColumn("pos", F.element_at("element", -1)).withColumn("owner", F.slice("element", 1, F.greatest(F.size("element") - 2, F.lit(0)))).drop("below")
+    )

@@ -36,9 +36,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _member_days(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "member_orders").filter("member_id is not null").select("id", "member_id", "create_time", "pay_amount").distinct()
-    at = F.timestamp_micros(instants.instant(F.col("create_time"), F.lit(HOME)))
-    return o.select(F.col("member_id").alias("entity"), F.to_date(F.from_utc_timestamp(at, HOME)).alias("day"), rolling.cents(F.col("pay_amount")).alias("cents"))
+    o = table(spark, d, "member_orders").filter("id is not null").select(
+        F.lit("member_orders.create_time").alias("source"), F.col("id").alias("key"), F.col("create_time").alias("text"), F.lit(HOME).alias("zone"), "member_id", "pay_amount")
+    read = instants.resolve(o, "key", instants.readings(F.col("text"), F.col("zone")), keep=("member_id", "pay_amount"))
+    at = F.timestamp_micros("us")
+    return read.select(F.col("member_id").alias("entity"), F.to_date(F.from_utc_timestamp(at, HOME)).alias("day"), rolling.cents(F.col("pay_amount")).alias("cents"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -56,18 +58,16 @@ FIELDS = {GOODS: "goodsId", PAY_TYPES: "payTypes", TIMEOUTS: "timeout_time", SIT
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     user, demo, raw = (table(spark, d, t) for t in ("user_data", "demo", "raw_records"))
-    user = user.filter("order.orderId is not null").dropDuplicates()
-    demo = demo.filter("_id is not null").dropDuplicates()
-    raw = raw.filter("record_no is not null").dropDuplicates()
+    raw = raw.filter("record_no is not null").select("record_no", "payload").distinct()
     arrays = [p[: p.index("[]")] for p in FIELDS]
-    parts = [(t, nested.shred(df, key, p)) for t, df, key, ps in (("user_data", user, F.col("order.orderId"), (GOODS, PAY_TYPES)), ("demo", demo, F.col("_id"), (TIMEOUTS, SITES))) for p in ps]
-    parts.append(("raw_records", nested.shred_json(raw, F.col("record_no"), F.col("payload"), arrays, list(FIELDS))))
+    tables_ = (
+        ("user_data", nested.shred(user.filter("order.orderId is not null"), F.col("order.orderId"), (GOODS, PAY_TYPES))),
+        ("demo", nested.shred(demo.filter("_id is not null"), F.col("_id"), (TIMEOUTS, SITES))),
+        ("raw_records", nested.shred_json(raw, F.col("record_no"), F.col("payload"), arrays, list(FIELDS))),
+    )
     names = F.create_map(*(F.lit(x) for p, n in FIELDS.items() for x in ("/".join(p), n)))
-    places = F.create_map(*(F.lit(x) for p in FIELDS for x in ("/".join(p), p.index("[]"))))
-    return reduce(DataFrame.unionByName, (
-        nodes.select(F.lit(t).alias("table_name"), "parent_key", names[F.col("path")].alias("field_name"), F.get("dewey", places[F.col("path")]).cast("bigint").alias("pos"), F.col("value").alias("child"))
-        for t, nodes in parts
-    ))
+    nodes = reduce(DataFrame.unionByName, (n.withColumn("table_name", F.lit(t)) for t, n in tables_))
+    return nested.elements(nodes).select("table_name", "parent_key", names[F.col("path")].alias("field_name"), F.col("pos").cast("bigint").alias("pos"), F.col("value").alias("child"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,18 +77,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return taken.read().select("run_no", "id")
 
 
-def _orphans(refs: DataFrame, targets: DataFrame, key: str, name: str) -> DataFrame:
-    own = references.deltas_of_lives(targets, F.col(key), F.col("created_at"), F.col("deleted_at"))
-    found = references.orphans_at(refs, targets.select(F.col(key).alias("key")), own)
-    return found.select(F.lit(name).alias("table_name"), "row_id", F.date_format("ts", "yyyy-MM").alias("period"), "reason")
-
-
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     code = lambda c: F.lower(F.regexp_replace(c, r"^[\s　 ]+|[\s　 ]+$", ""))
-    site = table(spark, d, "site_orders").filter("site_id <> 0").select(F.col("order_id").alias("row_id"), F.col("site_id").alias("key"), F.col("arrived_at").alias("ts")).distinct()
-    service = table(spark, d, "services").select(F.col("service_id").alias("row_id"), code("device_code").alias("key"), F.col("updated_at").alias("ts")).filter("key <> ''").distinct()
-    devices = table(spark, d, "devices").withColumn("code", code("code"))
-    return _orphans(site, table(spark, d, "sites"), "site_id", "site_orders").unionByName(_orphans(service, devices, "code", "services"))
+    refs = lambda df, t, row, key, ts: df.select(F.lit(t).alias("table_name"), F.col(row).alias("row_id"), key.cast("string").alias("key"), F.col(ts).alias("ts"))
+    lives = lambda df, t, key: references.deltas_of_lives(df, t, key.cast("string"), F.col("created_at"), F.col("deleted_at"))
+    asked = refs(table(spark, d, "site_orders").filter("site_id <> 0"), "site_orders", "order_id", F.col("site_id"), "arrived_at").unionByName(
+        refs(table(spark, d, "services"), "services", "service_id", code("device_code"), "updated_at").filter("key <> ''")
+    )
+    existence = lives(table(spark, d, "sites"), "site_orders", F.col("site_id")).unionByName(lives(table(spark, d, "devices"), "services", code("code")))
+    found = references.orphans_at(asked.distinct(), existence)
+    return found.select("table_name", "row_id", F.date_format("ts", "yyyy-MM").alias("period"), "reason")
 
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
