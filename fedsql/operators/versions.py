@@ -46,6 +46,7 @@ class VersionedTable:
         self._jpath = jvm.org.apache.hadoop.fs.Path
         self._fs = self._jpath(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._jvm = jvm
+        self._read: dict[int, Manifest] = {}  # manifests never change
 
     def _name(self, version: int) -> str:
         return f"{self.path}/_manifests/{version:012d}.json"
@@ -60,13 +61,16 @@ class VersionedTable:
     def manifest(self, version: int) -> Manifest:
         if version == 0:
             return Manifest(0)
+        if version in self._read:
+            return self._read[version]
         stream = self._fs.open(self._jpath(self._name(version)))
         try:
             text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
         raw = json.loads(text)
-        return Manifest(version, {k: tuple(v) for k, v in raw["files"].items()}, raw["meta"])
+        self._read = {version: Manifest(version, {k: tuple(v) for k, v in raw["files"].items()}, raw["meta"]), **{k: m for k, m in self._read.items() if k > version - 2}}
+        return self._read[version]
 
     def commit(self, files: dict[str, tuple[str, ...]], meta: dict, base: int) -> int:
         """Makes version ``base`` + 1; :class:`Conflict` if it is there already."""
@@ -143,7 +147,7 @@ class VersionedTable:
         schema = T.StructType([*self.schema.fields, T.StructField("file", T.StringType()), T.StructField("pos", T.LongType())]) if position else self.schema
         pairs = [(v, f) for f, names in files.items() for v in names]
         if not files or (only and not pairs):
-            return self.spark.createDataFrame([], schema)
+            return self.spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields))
         df = self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{f}" for f in files))
         if not position and not pairs:
             return df
@@ -161,12 +165,9 @@ class VersionedTable:
     def delta(self, start: int, end: int) -> DataFrame:
         """Record deltas between two versions: the table's columns and ``sign``."""
         added, removed, gone, back = diff(self.manifest(start), self.manifest(end))
-        parts = [self.read_files(added).withColumn("sign", F.lit(1)), self.read_files(removed).withColumn("sign", F.lit(-1))]
-        if gone:
-            parts.append(self.read_files(gone, only=True).withColumn("sign", F.lit(-1)))
-        if back:
-            parts.append(self.read_files(back, only=True).withColumn("sign", F.lit(1)))
-        return reduce(DataFrame.unionByName, parts)
+        parts = [(added, False, 1), (removed, False, -1), (gone, True, -1), (back, True, 1)]
+        read = [self.read_files(files, only=only).withColumn("sign", F.lit(sign)) for files, only, sign in parts if files]
+        return reduce(DataFrame.unionByName, read) if read else self.read_files({}).withColumn("sign", F.lit(1))
 
 
 def diff(a: Manifest, b: Manifest) -> tuple[dict, dict, dict, dict]:
@@ -247,10 +248,12 @@ def replay(feed: DataFrame, runs: list[tuple[int, object, bool]], arrived: str,
         if not ok:
             continue
 
-        def step(deltas: DataFrame, number: int = number) -> DataFrame:
-            latest = net(deltas).groupBy(key).agg(F.max("m").alias("m"))
-            before = taken.read().groupBy(key).agg(F.max("m").alias("before"))
-            return latest.join(before, key, "left").filter("before is null or m > before").select(F.lit(number).cast("bigint").alias("run_no"), key, "m")
+        def step(deltas: DataFrame, number: int = number, v: int = v) -> DataFrame:
+            only_added = not any(diff(source.manifest(processed(taken)), source.manifest(v))[1:])
+            fresh = deltas if only_added else net(deltas)  # a key's latest is the same however often it was added
+            both = fresh.select(key, F.col("m").alias("m"), F.lit(None).cast("bigint").alias("before")).unionByName(taken.read().select(key, F.lit(None).cast("bigint").alias("m"), F.col("m").alias("before")))
+            latest = both.groupBy(key).agg(F.max("m").alias("m"), F.max("before").alias("before"))  # one shuffle of keys and times
+            return latest.filter("m is not null and (before is null or m > before)").select(F.lit(number).cast("bigint").alias("run_no"), key, "m")
 
         run_once(source, taken, step, v, {"run": number})
     return taken
