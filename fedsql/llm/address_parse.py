@@ -1,7 +1,7 @@
 """Reading one typed postal address into ordered tokens.
 
 A row names a place in four free-text fields.  :func:`parse` brings the text
-to one form (width, traditional signs, number words, courier remarks), tells
+to one form (width, traditional signs, number words), tells
 the area from the street, the street from the estate, and the estate from
 building, unit and room, whatever their order, and returns them as an
 :class:`Address`.  ``None`` stands for a part the text does not give.
@@ -20,17 +20,14 @@ CITY_ENDS = ("市", "自治州", "盟")
 DISTRICT_ENDS = ("区", "县", "旗")
 STREET_ENDS = ("大道", "大路", "大街", "胡同", "路", "街", "巷", "弄")
 ESTATE_ENDS = ("小区", "花园", "新村", "公寓", "家园", "广场", "大厦", "苑")
-STREET_SYNONYMS = {"大路": "大道"}
 SIGN_VARIANTS = {"號": "号", "樓": "楼", "單": "单", "區": "区", "縣": "县", "門": "门", "棟": "栋", "層": "层", "東": "东", "園": "园", "道": "道"}
-REMARKS = ("勿放快递柜", "放快递柜", "放门卫", "放菜鸟驿站", "菜鸟驿站", "工作日送", "到了打电话", "送前打电话", "放丰巢", "放前台", "附近交", "家里有人")
-PICK_UP = ("自提", "门店自提", "到店自提", "到店自取", "自取")
+PICK_UP = ("自提", "自取")
 NO_AREA = ("其他", "其它", "无", "不详", "未知")
 DIGIT_WORDS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 # -------------------------------------------------------------------------
 
 _SIGNS = str.maketrans(SIGN_VARIANTS)
 _DROP = re.compile("[​-‍⁠﻿­]")
-_REMARK = re.compile(r"[【\[({,;、\s]*(?:%s)[】\])}]*" % "|".join(REMARKS))
 _BRACKETS = re.compile(r"【[^】]*】|\[[^\]]*\]")
 _NUMBER_WORD = re.compile(r"[零〇一二两三四五六七八九十百]+(?=\s*(?:号|#|栋|幢|座|单元|门|室|房|楼|层|铺|院|-))")
 _PART = r"[^\d,()\s#\-]"
@@ -80,7 +77,6 @@ def clean(text: str | None) -> str:
     if not text:
         return ""
     text = _DROP.sub("", unicodedata.normalize("NFKC", text)).translate(_SIGNS)
-    text = _REMARK.sub(" ", text)
     text = _BRACKETS.sub(" ", text).replace("。", ",").replace("、", ",").replace(";", ",")
     return text.strip(" ,")
 
@@ -142,7 +138,7 @@ def _take_area(text: str, area: dict[str, str | None]) -> str:
 
 def _area_field(text: str, level: str, area: dict[str, str | None]) -> None:
     """Files the parts of one area field under their levels, by their endings where they have them."""
-    if not text or text in NO_AREA or text in PICK_UP:
+    if not text or text in NO_AREA:
         return
     rest = _take_area(text, area)
     if not rest:
@@ -161,7 +157,7 @@ def parse(province: str | None, city: str | None, region: str | None, detail: st
     """The address's tokens, or ``None`` where no place is named (empty, or fetched at the shop)."""
     fields = [clean(x) for x in (province, city, region)]
     rest = clean(detail)
-    if any(x in PICK_UP for x in (*fields, rest)) or any(x in rest for x in PICK_UP):
+    if any(p in x for x in (*fields, rest) for p in PICK_UP):
         return None
     area: dict[str, str | None] = {"p": None, "c": None, "d": None}
     # fields whose ending names another level go first, so that a swapped pair lands right
@@ -175,9 +171,6 @@ def parse(province: str | None, city: str | None, region: str | None, detail: st
         street, number = m[1].strip(), m[2].lstrip("0") or "0"
         tail = rest[m.end():]
         rest = rest[: m.start()] + "," + tail.lstrip("-")
-        for short, full in STREET_SYNONYMS.items():
-            if street.endswith(short):
-                street = street[: -len(short)] + full
     rest = rest.replace("(", ",").replace(")", ",")
     if m := _ESTATE.search(rest):
         estate = m[1].strip()

@@ -9,10 +9,14 @@ from fedsql.llm import addresses, leaks, mixing, pieces, topn
 from fedsql.session import table, written
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
+def p1_places(spark: SparkSession, d: str) -> DataFrame:
+    """(id, place): the class of every order that names a place."""
     o = table(spark, d, "member_orders")
-    placed = written(addresses.places(o, *(F.col(c) for c in ("id", "receiver_province", "receiver_city", "receiver_region", "receiver_detail_address"))), "places")
-    return addresses.same_pairs(placed)
+    return addresses.places(o, *(F.col(c) for c in ("id", "receiver_province", "receiver_city", "receiver_region", "receiver_detail_address")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.same_pairs(written(p1_places(spark, d), "places"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +47,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_documents(table(spark, d, "documents")).filter("n_pieces > 1 and piece_no = 0").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p9_report": p9_report, "p9_mixed": p9_mixed, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_places": p1_places, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p9_report": p9_report, "p9_mixed": p9_mixed, "p10_found": p10_found}
 
 SQL = {
     "p7_found": """
