@@ -17,6 +17,8 @@ target is known; copies of a life count once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -36,21 +38,23 @@ class Ledger:
 
     def apply(self, references: DataFrame | None = None, existence: DataFrame | None = None) -> Ledger:
         """references: (table_name, key, ts, sign); existence: (table_name, key, ts, sign, targets)."""
-        zero = F.lit(0)
+        zero, group = F.lit(0).cast("bigint"), ("table_name", "key", "day")
+        count = lambda c: F.sum(F.col(c).cast("bigint")).alias(c)
+        none = F.array().cast(MOVES)
         parts = []
-        if references is not None:
-            parts.append(references.select("table_name", "key", F.to_date("ts").alias("day"), F.col("sign").alias("refs"), zero.alias("exist"), zero.alias("targets"), F.lit(None).cast("timestamp").alias("ts")))
+        if references is not None:  # added up by day before they meet the rest
+            by_day = references.withColumn("day", F.to_date("ts")) if "day" not in references.columns else references
+            parts.append(by_day.groupBy(*group).agg(F.sum(F.col("sign").cast("bigint")).alias("refs")).select(*group, "refs", zero.alias("exist"), zero.alias("targets"), none.alias("moves")))
         if existence is not None:
-            parts.append(existence.select("table_name", "key", F.to_date("ts").alias("day"), zero.alias("refs"), F.col("sign").alias("exist"), "targets", "ts"))
-        if not parts:
-            return self
-        both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        count = lambda c: F.sum(F.col(c).cast("bigint")).alias(c)
-        moved = F.when(F.col("exist") != 0, F.struct("ts", F.col("exist").cast("int").alias("sign")))
-        new = both.groupBy("table_name", "key", "day").agg(count("refs"), count("exist"), count("targets"), F.collect_list(moved).cast(MOVES).alias("moves"))
+            moved = F.when(F.col("sign") != 0, F.array(F.struct("ts", F.col("sign").cast("int").alias("sign"))).cast(MOVES)).otherwise(none)
+            parts.append(existence.select("table_name", "key", F.to_date("ts").alias("day"), zero.alias("refs"), F.col("sign").cast("bigint").alias("exist"), F.col("targets").cast("bigint").alias("targets"), moved.alias("moves")))
         if self.state is not None:
-            new = self.state.unionByName(new).groupBy("table_name", "key", "day").agg(count("refs"), count("exist"), count("targets"), F.flatten(F.collect_list("moves")).alias("moves"))
-        return Ledger(new)
+            parts.append(self.state)
+        if not parts or (references is None and existence is None):
+            return self
+        # by key, which carrying over its days needs as well; a key has no more rows here than days and changes
+        rows = reduce(DataFrame.unionByName, parts).repartition("table_name", "key")
+        return Ledger(rows.groupBy(*group).agg(count("refs"), count("exist"), count("targets"), F.flatten(F.collect_list("moves")).alias("moves")))
 
     def orphans(self) -> DataFrame:
         """(table_name, period, key, refs): the references, by UTC month, of keys that have some and no existence now."""
@@ -96,18 +100,20 @@ def least_existence(carry: Column, moves: Column) -> Column:
 
 
 def orphans_at(references: DataFrame, existence: DataFrame) -> DataFrame:
-    """Rows of references(table_name, row_id, key, ts; sign, if changes) whose key has no existence at ts, with ``reason``.
+    """Rows of references(table_name, row_id, key, ts; sign, if changes) whose key has no existence at ts, with ``reason``; equal rows are one.
 
     ``existence`` as of :func:`deltas_of_lives`.  The reason is ``missing`` without any row of the target, ``late`` if
     all lives begin later, else ``deleted``.
     """
     refs = references.filter("key is not null and ts is not null")
+    # one shuffle by key and day for taking out copies, counting, and the join below
+    refs = refs.withColumn("day", F.to_date("ts")).repartition("table_name", "key", "day")
     if "sign" in refs.columns:  # a reference that went is none
         refs = refs.groupBy(*(c for c in refs.columns if c != "sign")).agg(F.sum("sign").alias("sign")).filter("sign > 0")
     else:
-        refs = refs.withColumn("sign", F.lit(1))
+        refs = refs.distinct().withColumn("sign", F.lit(1))
     days = Ledger().apply(refs, existence).orphan_days()
-    at = refs.withColumn("day", F.to_date("ts")).join(days, ["table_name", "key", "day"])
+    at = refs.join(days, ["table_name", "key", "day"])
     alive = F.col("carry") + F.aggregate("moves", F.lit(0).cast("bigint"), lambda n, x: n + F.when(x["ts"] <= F.col("ts"), x["sign"]).otherwise(0))
     begun = F.col("begun") | F.exists("moves", lambda x: (x["sign"] > 0) & (x["ts"] <= F.col("ts")))
     return (

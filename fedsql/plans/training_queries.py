@@ -85,7 +85,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
         refs(table(spark, d, "services"), "services", "service_id", code("device_code"), "updated_at").filter("key <> ''")
     )
     existence = lives(table(spark, d, "sites"), "site_orders", F.col("site_id")).unionByName(lives(table(spark, d, "devices"), "services", code("code")))
-    found = references.orphans_at(asked.distinct(), existence)
+    found = references.orphans_at(asked, existence)
     return found.select("table_name", "row_id", F.date_format("ts", "yyyy-MM").alias("period"), "reason")
 
 
