@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fedsql.functions import udfs
+from fedsql.functions import custom, udfs
 from fedsql.functions.builtins import quoted
-from fedsql.operators.merge import NAMES, delete, merge
+from fedsql.operators.merge import MODES, NAMES, delete, merge
 from fedsql.operators.transforms import TRANSFORMS
 from fedsql.plans.emitter import ORD, Emitter, Scope, annotated, tick
 from fedsql.plans.lexer import SqlError, Statement, statements, substituted
@@ -35,6 +35,14 @@ from fedsql.session import checkpointed
 from fedsql.sources import files
 
 _counter = iter(range(10**12))
+#: Rows that SELECT ... INTO @v may give at most; more is an error, as they become a value on the driver.
+MOST_INTO = 100_000
+#: Modules that pyeval's code can use; ``register_pyeval_module`` adds to them.
+PYEVAL_MODULES = {m: importlib.import_module(m) for m in ("sys", "os", "math", "json", "re", "datetime", "time", "random", "string", "uuid", "base64", "hashlib", "pickle")}
+#: Ending of a settings file -> how its text is read; ``register_parser`` adds to them.
+PARSERS: dict[str, Callable[[str], dict]] = {}
+#: Scheme of a settings file's address -> how its text is got; ``register_reader`` adds to them.
+READERS: dict[str, Callable[[str], str]] = {}
 
 
 class Session:
@@ -50,6 +58,7 @@ class Session:
         self.databases: dict[str, dict] = {}
         self.views: dict[int, tuple[str, DataFrame]] = {}
         self.defines: dict[str, str] = {}
+        self.settings: dict[str, dict] = {}
         self.folder = parent.folder if parent else ""  # Parquet tables by name
         self.pyeval_allowed = parent.pyeval_allowed if parent else False
         if parent is None:
@@ -106,11 +115,11 @@ class Session:
 
     # -- tables ------------------------------------------------------------------------------------
 
-    def table(self, name: str) -> DataFrame:
-        """The table of a name: temporary, of a file, a database or a virtual view."""
+    def table(self, name: str, given: dict[tuple[str, str], str] | None = None) -> DataFrame:
+        """The table of a name: temporary, of a file, a database or a virtual view; ``given`` are values for a view's arguments."""
         if name.startswith("raw:"):
             _, db, text = name.split(":", 2)
-            return files.read_database(self.spark, self.database(db.split(".")[0]), query=bytes.fromhex(text).decode())
+            return files.read_database(self.spark, self.database(db.split(".")[0]), query=files.bound_view(bytes.fromhex(text).decode(), given or {}))
         if name.startswith("@"):
             v = self.value(name.lstrip("@"))
             if not isinstance(v, str):
@@ -128,9 +137,9 @@ class Session:
         db, _, rest = name.partition(".")
         if rest and self._find("databases", db) is not None:
             config = self.database(db)
-            view = (config.get("virtual_views") or {}).get(rest)
-            if view:
-                return files.read_database(self.spark, config, query=re.sub(r"#\{\w+(?::([^}]*))?\}", lambda m: m[1] or "", view))
+            view = self.view_text(name)
+            if view is not None:
+                return files.read_database(self.spark, config, query=files.bound_view(view, given or {}))
             return files.read_database(self.spark, config, table=rest)
         if self.folder and re.fullmatch(r"\w+", name):
             self.tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -139,16 +148,41 @@ class Session:
             return self.spark.table(name)
         raise SqlError(f"no table {name}")
 
+    def view_text(self, name: str) -> str | None:
+        """The query of a virtual view or raw query with its arguments; None if the name is none's."""
+        if name.startswith("raw:"):
+            return bytes.fromhex(name.split(":", 2)[2]).decode()
+        db, _, rest = name.partition(".")
+        config = self._find("databases", db) if rest else None
+        views = (config or {}).get("virtual_views") or {}
+        if isinstance(views, dict):
+            own = views.get(rest)
+        else:
+            own = next((v for v in views if v.get("name") == rest), None)
+        if isinstance(own, dict):
+            text, ops = own.get("query", ""), {v: k for k, v in files.VIEW_OPS.items()} | {"==": "eq", "!=": "neq"}
+            for arg in own.get("args") or []:  # a %s for each argument
+                column, op, default = (*([arg] if isinstance(arg, str) else arg), "==", None)[:3] if isinstance(arg, str) else (*arg, None)[:3]
+                column, op = (column, op) if isinstance(arg, list) else (column.rpartition("__")[0] or column, column.rpartition("__")[2] if "__" in column else "eq")
+                text = text.replace("%s", "#{" + f"{column}__{ops.get(op, op)}" + (":" + json.dumps(default) if default is not None else "") + "}", 1)
+            return text
+        return own
+
     def database(self, name: str) -> dict:
         config = self._find("databases", name)
         if config is None:
             raise SqlError(f"no database {name}")
-        return config
+        sizes = {option: self.value(v) for option, v in (("fetchsize", "batch"), ("batchsize", "insert_batch")) if self.value(v)}  # @batch, @insert_batch
+        return {**sizes, **config}
 
-    def relation(self, name: str) -> tuple[str, T.StructType]:
+    def is_database_table(self, name: str) -> bool:
+        db, _, rest = name.partition(".")
+        return bool(rest) and not files.is_path(name) and self._find("tables", name) is None and self._find("databases", db) is not None
+
+    def relation(self, name: str, given: dict[tuple[str, str], str] | None = None) -> tuple[str, T.StructType]:
         """A view's name and schema for a table's name."""
-        name = annotated(name)[0] if "<" in name or "[" in name else name
-        df = self.table(name)
+        name = annotated(name)[0] if ("<" in name or "[" in name) and not files.is_path(name) else name
+        df = self.table(name, given)
         if id(df) not in self.views or self.views[id(df)][1] is not df:
             view = self.fresh("t")
             df.createOrReplaceTempView(view)
@@ -211,6 +245,7 @@ class Session:
     def register(self, name: str, f: Callable, kind: str | T.DataType | None = None) -> None:
         """A Python function by its annotations' type, text if it has none."""
         back = kind or getattr(f, "__annotations__", {}).get("return")
+        back = None if back in (Any, "Any", object, "object") else back
         sql = {int: "bigint", float: "double", bool: "boolean", str: "string", bytes: "binary", "int": "bigint", "float": "double"}.get(back, back if isinstance(back, (str, T.DataType)) else "string")
         own = self.fresh("f")
 
@@ -221,12 +256,12 @@ class Session:
                 return None
             return str(out) if sql == "string" and out is not None and not isinstance(out, str) else out
 
-        self.spark.udf.register(own, F.udf(safe, sql))
+        self.spark.udf.register(own, F.udf(safe, sql, useArrow=True))
         self.functions[name.lower()] = ("scalar", own)
 
     def register_aggregate(self, name: str, fold: Callable[[list], Any], kind: str = "double") -> None:
-        """``fold`` gets a group's values; it runs as a grouped-aggregate function over Arrow batches."""
-        own = self.fresh("a")
+        """``fold`` gets a group's values, or is a class of :mod:`custom`; it runs as a grouped-aggregate function over Arrow batches."""
+        own, fold = self.fresh("a"), custom.fold_of(fold, name)
         import pandas as pd
 
         def over(values: pd.Series) -> Any:
@@ -237,8 +272,8 @@ class Session:
         self.functions[name.lower()] = ("aggregate", own)
 
     def register_window(self, name: str, fold: Callable[[list], Any], kind: str = "double") -> None:
-        """``fold`` gets the values of the rows in the window's frame."""
-        self.register_aggregate(name, fold, kind)
+        """``fold`` gets the values of the rows in the window's frame, or is a class of :mod:`custom`."""
+        self.register_aggregate(name, custom.window_fold_of(fold, name), kind)
 
     def register_generator(self, name: str, f: Callable, kind: str = "string") -> None:
         own = self.fresh("g")
@@ -260,14 +295,23 @@ class Session:
             return "(" + re.sub(r"\$(\d+)", lambda m: args[int(m[1]) - 1], define) + ")"
         if not self.pyeval_allowed:
             raise SqlError("pyeval is off; Engine(pyeval=True) allows it")
-        code = n.args[0].text
-        key = f"pyeval:{code}"
+        this = name == "pyevalt"  # pyevalt(this, code, ...)
+        code = n.args[1 if this else 0].text
+        key = f"{name}:{code}"
         if self._find("functions", key.lower()) is None:
-            modules = {m: importlib.import_module(m) for m in ("math", "json", "re", "datetime", "random")}
-            self.register(key, lambda *a: eval(code, dict(modules), {"args": a, **{f"a{i}": x for i, x in enumerate(a)}}))  # noqa: S307
+            modules, parts = dict(PYEVAL_MODULES), [m for m, x in PYEVAL_MODULES.items() if custom.is_module(x)]
+            for m in parts:
+                modules.pop(m)  # a module is found again by its name where the code runs
+            named = {m: PYEVAL_MODULES[m].__name__ for m in parts}
+
+            def run(*a):  # noqa: ANN002, ANN202
+                names = {**modules, **{m: importlib.import_module(x) for m, x in named.items()}}
+                return eval(code, names, {"this": a[0], "args": a[1:]} if this else {"args": a, **{f"a{i}": x for i, x in enumerate(a)}})  # noqa: S307
+
+            self.register(key, run)
         own = self._find("functions", key.lower())[1]
-        rest = [emitter.value(a, scope) for a in n.args[1:]]
-        return f"{own}({', '.join(rest)})" if rest else self.literal(eval(code, {m: importlib.import_module(m) for m in ("math", "json", "re", "datetime", "random")}))  # noqa: S307
+        rest = [emitter.value(a, scope) for k, a in enumerate(n.args) if k != (1 if this else 0)]
+        return f"{own}({', '.join(rest)})" if rest else self.literal(eval(code, dict(PYEVAL_MODULES)))  # noqa: S307
 
     def assignment(self, n: Node, emitter: Emitter, scope: Scope) -> str:
         """``@a := expr`` once for a query without rows, and the counter ``@a := @a + x`` over its rows' order."""
@@ -283,7 +327,9 @@ class Session:
             step = e.args[2].right if e.args[2].op != ":=" else e.args[2].right.right
             start = self.literal(self.value(name) or 0)
             return f"({start} + sum(CASE WHEN {emitter.truth(e.args[0], scope)} THEN 0 ELSE {emitter.value(step, scope)} END) OVER (ORDER BY {ORD}))"
-        raise SqlError("an assignment over rows must be a counter: @a := @a + x")
+        if not reads(e, name):  # nothing goes from row to row
+            return emitter.value(e, scope)
+        raise SqlError("an assignment over rows that reads itself must be a counter: @a := @a + x")
 
     def pipeline(self, n: Node, emitter: Emitter) -> str | None:
         """``SELECT f(constants) FROM (query)`` with a table function gives that function's table."""
@@ -300,6 +346,10 @@ class Session:
         return f"SELECT * FROM {tick(self.view_of(f(self.spark.sql(f'SELECT * FROM {rel}'), *args)))}"
 
 
+def reads(n: Node, name: str) -> bool:
+    return (n.kind == "variable" and n.name == name) or any(reads(c, name) for c in n.children())
+
+
 class Engine:
     """Scripts over Spark."""
 
@@ -339,23 +389,65 @@ class Engine:
 
         out: dict = {}
         for p in paths:
-            if not Path(p).exists():
+            scheme = p.partition("://")[0] if "://" in p else ""
+            if scheme in READERS:
+                text = READERS[scheme](p)
+            elif Path(p).exists():
+                text = Path(p).read_text()
+            else:
                 continue
-            own = yaml.safe_load(Path(p).read_text()) or {}
+            own = PARSERS.get(Path(p).suffix.lower(), yaml.safe_load)(text) or {}
             for x in own.pop("extends", []) or []:
                 own = Engine.load_config(str(Path(p).parent / x)) | own
             for k, v in own.items():
                 out[k] = {**out[k], **v} if isinstance(v, dict) and isinstance(out.get(k), dict) else v
         return out
 
-    def use(self, name: str, f: Callable) -> None:
-        self.session.register(name, f)
+    def use(self, name: str, f: Any) -> None:
+        """A function, a class with ``calculate``, or a module to call functions of."""
+        if custom.is_module(f):
+            self.session.modules[name] = f
+        else:
+            self.session.register(name, custom.scalar_of(f, name))
+
+    register_calculater = use
+
+    def register_mysql_func(self, name: str, f: Callable) -> None:
+        """A function in place of the built-in one of its name, for all scopes."""
+        if not callable(f) or isinstance(f, type):
+            raise TypeError("a function is needed")
+        root = self.session
+        while root.parent is not None:
+            root = root.parent
+        root.register(name, f)
+
+    @staticmethod
+    def register_pyeval_module(name: str, module: Any) -> None:
+        PYEVAL_MODULES[name] = module
+
+    def register_database(self, source: type) -> None:
+        """A ``pyspark.sql.datasource.DataSource``: databases whose driver has its name are read and written through it."""
+        self.spark.dataSource.register(source)
+
+    register_loader = register_outputer = register_database
+
+    @staticmethod
+    def register_parser(ending: str, f: Callable[[str], dict]) -> None:
+        PARSERS[ending.lower()] = f
+
+    @staticmethod
+    def register_reader(scheme: str, f: Callable[[str], str]) -> None:
+        READERS[scheme] = f
 
     register_aggregate = property(lambda self: self.session.register_aggregate)
     register_window = property(lambda self: self.session.register_window)
     register_generator = property(lambda self: self.session.register_generator)
     register_transform = property(lambda self: self.session.register_transform)
 
+    def get_database(self, name: str) -> Database:
+        """A configured database, to read tables and queries of and write rows into."""
+        return Database(self.session, self.session.database(name))
+
     def context(self) -> Engine:
         return Engine._scoped(Session(self.spark, self.session))
 
@@ -431,7 +523,13 @@ class Engine:
         df = self.spark.sql(emitter.query(n))
         limit = getattr(n, "limit", None)
         if limit is not None and limit.kind == "number" and limit.text.startswith("-"):
+            df = checkpointed(df)  # worked out once, counted and cut
             df = df.limit(max(df.count() + int(limit.text), 0))
+        most = self.session.value("limit")
+        if isinstance(most, (int, float)) and most > 0:  # SET @limit
+            df = df.limit(int(most))
+        if self.session.value("verbose") in (1, True, "1", "true"):
+            df.explain("formatted")
         return df
 
     def _run(self, n: Node) -> DataFrame | None:
@@ -478,7 +576,9 @@ class Engine:
 
     def _target(self, t: Node) -> tuple[str, str]:
         name, _, option, _ = annotated(t.name)
-        mode = (t.mode or option or self.session.value("use_output_type") or "I").upper()
+        if files.is_path(t.name) and option and option.upper() not in (*MODES, *NAMES):
+            name, option = t.name, None  # the format of a file
+        mode = (t.mode or option or self.session.value("use_output_type") or self.session.value("use_output") or "I").upper()
         return name.removeprefix("--."), NAMES.get(mode, mode)
 
     def _store(self, name: str, df: DataFrame) -> None:
@@ -486,6 +586,10 @@ class Engine:
         if files.is_path(name):
             files.write_file(checkpointed(df), name, self.session.base)
             return
+        if self.session.is_database_table(name):
+            db, _, rest = name.partition(".")
+            files.write_database(checkpointed(df), self.session.database(db), rest, "overwrite")
+            return
         s: Session | None = self.session
         while s is not None and name not in s.tables:
             s = s.parent
@@ -518,16 +622,24 @@ class Engine:
             return
         keys = keys or self.session.keys.get(name) or df.columns[:1]
         self.session.keys[name] = keys
-        old = self.session._find("tables", name)
-        if old is None and files.is_path(name) and mode != "I":
-            try:
-                old = files.read_file(self.spark, name, self.session.base)
-            except Exception:  # noqa: BLE001  there is no such file yet
-                old = None
-        if old is None and files.is_path(name):
-            files.write_file(df, name, self.session.base)
+        inside = self._key_scope(first, keys) if mode in ("UDI", "DI") else None
+        if files.is_path(name):
+            if mode == "I":
+                whole = files.append_file(self.spark, df, name, self.session.base)
+                if whole is not None:
+                    self._store(name, whole)
+                return
+            old = files.read_file(self.spark, name, self.session.base) if files.exists(self.spark, name, self.session.base) else None
+            self._store(name, merge(old, df, keys, mode, inside))
+            return
+        if self.session.is_database_table(name):
+            db, _, rest = name.partition(".")
+            if mode == "I":
+                files.write_database(df, self.session.database(db), rest)
+                return
+            self._store(name, merge(self.session.table(name), df, keys, mode, inside))
             return
-        self._store(name, merge(old, df, keys, mode, self._key_scope(first, keys) if mode in ("UDI", "DI") else None))
+        self._store(name, merge(self.session._find("tables", name), df, keys, mode, inside))
 
     def _key_scope(self, q: Node, keys: list[str]) -> str | None:
         """The conditions of a query that are on its key alone, in the target's names: what a write may delete."""
@@ -589,7 +701,10 @@ class Engine:
                 at = at.setdefault(p, {})
             value = self._constant(n)
             if len(path) > 1:
-                at[path[-1]] = value
+                if value is None:
+                    at.pop(path[-1], None)
+                else:
+                    at[path[-1]] = value
             elif isinstance(value, dict):
                 at.update(value)
             return
@@ -599,6 +714,17 @@ class Engine:
         if name.startswith(("imports.", "config.imports.")):
             target.modules[name.split("imports.", 1)[1]] = importlib.import_module(str(self._constant(n)))
             return
+        if m := re.match(r"config\.(options|caches|sources|variables)\.(.+)", name):
+            value = self._constant(n)
+            if m[1] == "variables":
+                target.variables[m[2]] = value
+            elif value is None:
+                target.settings.get(m[1], {}).pop(m[2], None)
+            else:
+                target.settings.setdefault(m[1], {})[m[2]] = value
+                if m[1] == "options" and m[2].startswith("spark."):
+                    self.spark.conf.set(m[2], str(value))
+            return
         target.variables[name] = self._constant(n)
 
     def _constant(self, n: Node) -> Any:
@@ -628,7 +754,9 @@ class Engine:
 
 def shaped(df: DataFrame) -> Any:
     """A small result as a value: one cell, a list of a column, a dict of a row, a list of dicts, or None."""
-    rows = [r.asDict(True) for r in df.collect()]
+    rows = [r.asDict(True) for r in df.limit(MOST_INTO + 1).collect()]
+    if len(rows) > MOST_INTO:
+        raise SqlError(f"more than {MOST_INTO} rows can't become a value")
     if not rows:
         return None
     if len(df.columns) == 1:
@@ -637,16 +765,68 @@ def shaped(df: DataFrame) -> Any:
     return rows[0] if len(rows) == 1 else rows
 
 
+class Database:
+    """What a script's database is to Python code."""
+
+    def __init__(self, session: Session, config: dict) -> None:
+        self.session, self.config = session, config
+
+    def table(self, name: str) -> DataFrame:
+        return files.read_database(self.session.spark, self.config, table=name)
+
+    def query(self, sql: str) -> DataFrame:
+        return files.read_database(self.session.spark, self.config, query=sql)
+
+    def insert(self, name: str, df: DataFrame) -> None:
+        files.write_database(df, self.config, name)
+
+
 _default: list[Engine] = []
 
 
-def default() -> Engine:
+def instance() -> Engine:
+    """The engine that the functions of this module use."""
     if not _default:
         _default.append(Engine())
     return _default[0]
 
 
 def execute(script: str) -> DataFrame | None:
-    return default().execute(script)
+    return instance().execute(script)
+
+
+def get_variable(name: str, default: Any = None) -> Any:
+    return instance().get_variable(name, default)
+
+
+def set_variable(name: str, value: Any) -> None:
+    instance().set_variable(name, value)
+
+
+def use(name: str, f: Any) -> None:
+    instance().use(name, f)
+
+
+def get_database(name: str) -> Database:
+    return instance().get_database(name)
+
+
+def get_memory_datas(name: str) -> list[dict]:
+    return instance().get_memory_datas(name)
+
+
+def pop_memory_datas(name: str) -> list[dict]:
+    return instance().pop_memory_datas(name)
+
+
+def push_memory_datas(name: str, rows: list[dict] | dict) -> None:
+    instance().push_memory_datas(name, rows if isinstance(rows, list) else [rows])
+
+
+def terminal() -> None:
+    instance().terminate()
 
 
+def close() -> None:
+    if _default:
+        _default.pop().close()

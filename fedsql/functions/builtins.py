@@ -112,6 +112,41 @@ def regexp(args: list[str]) -> str:
     return f"cast(cast({args[0]} AS string) rlike concat({quoted(f'^(?{mode})(?:' if mode else '^(?:')}, {args[1]}, ')') AS int)"
 
 
+def _plain_pattern(args: list[str]) -> str | None:
+    """Java's form of a literal pattern that means the same there; None if there may be a difference."""
+    text = literal_text(args[1])
+    if text is None or re.search(r"\(\?[P(<]|\\[ZNuUxgk]|\[\^?\]|&&|\[[^\]]*\[", text):
+        return None
+    try:
+        re.compile(text)
+    except re.error:
+        return None
+    return quoted("(?i)" + text)
+
+
+def regexp_call(name: str, args: list[str]) -> str:
+    """Spark's own function where the pattern is a literal and all else as it is by default, a Python one else."""
+    plain = {"instr": 2, "replace": 3, "substr": 2}[name]
+    if len(args) == plain and (pattern := _plain_pattern(args)) is not None:
+        if name != "replace":
+            return f"regexp_{name}(cast({args[0]} AS string), {pattern})"
+        by = literal_text(args[2])
+        if by is not None and not re.search(r"\\(?!\d(?!\d))", by) and all(int(k) <= re.compile(literal_text(args[1])).groups for k in re.findall(r"\\(\d)", by)) and "\\0" not in by:
+            return f"regexp_replace(cast({args[0]} AS string), {pattern}, {quoted(re.sub(r'\\(\d)', r'$\1', by.replace('$', chr(92) + '$')))})"
+    more = {"instr": ["1", "1", "0"], "replace": ["1", "0"], "substr": ["1", "1"]}[name]
+    rest = args[plain : plain + len(more)]
+    flags = args[plain + len(more)] if len(args) > plain + len(more) else quoted("")
+    return f"fedsql_regexp_{name}({', '.join([*args[:plain], *rest, *more[len(rest):], flags])})"
+
+
+def hexs(args: list[str]) -> str:
+    n = args[0] if args else "8"
+    pieces = -(-int(n) // 64) if n.isdigit() else 0
+    if pieces:
+        return f"substr(concat({', '.join(['sha2(uuid(), 256)'] * pieces)}), 1, {n})"
+    return f"transform(array(uuid()), u -> substr(aggregate(sequence(1, greatest(1, cast(ceil(({n}) / 64) AS int))), '', (t, i) -> concat(t, sha2(concat(u, i), 256))), 1, {n}))[0]"
+
+
 def time_window(args: list[str]) -> str:
     m = re.fullmatch(r"(\d+)\s*([SMHdD])", literal_text(args[0]) or "")
     if not m or not int(m[1]):
@@ -192,7 +227,7 @@ FUNCTIONS: dict[str, str | F] = {
     "eq": "cast({0} = {1} AS int)", "neq": "cast({0} <> {1} AS int)", "gt": "cast({0} > {1} AS int)", "gte": "cast({0} >= {1} AS int)", "lt": "cast({0} < {1} AS int)", "lte": "cast({0} <= {1} AS int)",
     "in": "cast(array_contains({1}, {0}) AS int)", "not": "cast(NOT cast({0} AS boolean) AS int)", "is": "cast({0} <=> {1} AS int)", "is_not": "cast(NOT ({0} <=> {1}) AS int)",
     # JSON
-    "json_encode": lambda a: f"fedsql_json_encode({a[0]})", "json_decode": "try_parse_json({0})", "json_array": lambda a: f"to_json(array({', '.join(f'to_variant_object(struct({x} AS v)):v' if False else f'cast({x} AS variant)' for x in a)}))",
+    "json_encode": lambda a: f"fedsql_json_encode({a[0]})", "json_decode": "try_parse_json({0})", "json_array": lambda a: "to_json(array(" + ", ".join(f"cast({x} AS variant)" for x in a) + "))",
     "json_object": lambda a: "to_json(map(" + ", ".join(f"cast({x} AS string)" if k % 2 == 0 else f"cast({x} AS variant)" for k, x in enumerate(a)) + "))",
     "json_contains": "cast(coalesce(to_json(try_variant_get(try_parse_json({0}), {2}, 'variant')) = to_json(try_parse_json({1})), false) AS int)", "json_contains_path": json_contains_path,
     "json_extract": lambda a: f"get_json_object({a[0]}, {a[1]})" if len(a) == 2 else f"array({', '.join(f'get_json_object({a[0]}, {p})' for p in a[1:])})",
@@ -204,9 +239,7 @@ FUNCTIONS: dict[str, str | F] = {
     "json_valid": "cast(try_parse_json(cast({0} AS string)) IS NOT NULL AS int)",
     # regular expressions
     "regexp": regexp, "regexplike": regexp, "regexp_like": regexp,
-    "regexp_instr": lambda a: f"fedsql_regexp_instr({a[0]}, {a[1]}, {', '.join([*a[2:5], *['1', '1', '0'][len(a[2:5]):]])}, {a[5] if len(a) > 5 else quoted('')})",
-    "regexp_replace": lambda a: f"fedsql_regexp_replace({a[0]}, {a[1]}, {a[2]}, {', '.join([*a[3:5], *['1', '0'][len(a[3:5]):]])}, {a[5] if len(a) > 5 else quoted('')})",
-    "regexp_substr": lambda a: f"fedsql_regexp_substr({a[0]}, {a[1]}, {', '.join([*a[2:4], *['1', '1'][len(a[2:4]):]])}, {a[4] if len(a) > 4 else quoted('')})",
+    "regexp_instr": lambda a: regexp_call("instr", a), "regexp_replace": lambda a: regexp_call("replace", a), "regexp_substr": lambda a: regexp_call("substr", a),
     # others
     "type": "typeof({0})", "is_null": "cast({0} IS NULL AS int)", **{f"is_{n}": f"cast(typeof({{0}}) rlike '{t}' AS int)" for n, t in (("int", "^(tinyint|smallint|int|bigint)$"), ("float", "^(float|double)$"), ("decimal", "^decimal"), ("number", "^(tinyint|smallint|int|bigint|float|double|decimal.*)$"), ("string", "^string"), ("bytes", "^binary$"), ("bool", "^boolean$"), ("array", "^array"), ("set", "^array"), ("map", "^(map|struct)"), ("datetime", "^timestamp"), ("date", "^date$"))},
     "is_objectid": "cast(coalesce(cast({0} AS string) rlike '^[0-9a-f]{{24}}$', false) AS int)", "is_uuid": "cast(coalesce(cast({0} AS string) rlike '^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$', false) AS int)", "is_time": "cast(coalesce(cast({0} AS string) rlike '^\\\\d\\\\d:\\\\d\\\\d:\\\\d\\\\d$', false) AS int)",
@@ -216,11 +249,10 @@ FUNCTIONS: dict[str, str | F] = {
     "objectid": lambda a: a[0] if a else "lower(concat(lpad(hex(unix_timestamp(current_timestamp())), 8, '0'), substr(replace(uuid(), '-', ''), 1, 16)))", "uuid": lambda a: a[0] if a else "uuid()", "uuid$uuid4": lambda a: "uuid()",
     "snowflakeid": lambda a: "(shiftleft(unix_millis(current_timestamp()) - 1420070400000, 22) + monotonically_increasing_id())",
     "random": lambda a: "rand()", "random$int": lambda a: f"cast({a[0]} + floor(rand() * ({a[1]} - {a[0]} + 1)) AS bigint)" if len(a) > 1 else "cast(floor(rand() * 2147483647) AS bigint)",
-    "random$string": lambda a: f"randstr({a[0] if a else 8})", "random$letters": lambda a: f"regexp_replace(randstr({a[0] if a else 8}), '[0-9]', 'k')", "random$digits": lambda a: f"lpad(cast(floor(rand() * power(10, {a[0] if a else 8})) AS bigint), {a[0] if a else 8}, '0')",
-    "random$hexs": lambda a: f"substr(sha2(uuid(), 256), 1, {a[0] if a else 8})", "random$prints": lambda a: f"randstr({a[0] if a else 8})", "random$bytes": lambda a: f"cast(randstr({a[0] if a else 8}) AS binary)", "random$choice": lambda a: f"get({a[0]}, cast(floor(rand() * size({a[0]})) AS int))",
+    "random$string": lambda a: f"randstr({a[0] if a else 8})", "random$letters": lambda a: f"translate(randstr({a[0] if a else 8}), '0123456789', 'abcdefghij')", "random$digits": lambda a: f"lpad(cast(floor(rand() * power(10, {a[0] if a else 8})) AS bigint), {a[0] if a else 8}, '0')",
+    "random$hexs": hexs, "random$prints": lambda a: f"randstr({a[0] if a else 8})", "random$bytes": lambda a: f"cast(randstr({a[0] if a else 8}) AS binary)", "random$choice": lambda a: f"get({a[0]}, cast(floor(rand() * size({a[0]})) AS int))",
     "math$pow": "power({0}, {1})", "math$sqrt": "(CASE WHEN {0} >= 0 THEN sqrt({0}) END)", "math$floor": "cast(floor({0}) AS bigint)", "math$ceil": "cast(ceil({0}) AS bigint)", "json$decode": "try_parse_json({0})", "neg": "(-{0})", "current_env_variable": lambda a: a[0],
 }
-FUNCTIONS["json_array"] = lambda a: "to_json(array(" + ", ".join(f"cast({x} AS variant)" for x in a) + "))"
 
 
 def call(name: str, args: list[str]) -> str | None:

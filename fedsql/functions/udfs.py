@@ -143,11 +143,17 @@ def regexp_replace(s: str | None, r: str | None, by: str | None, pos: int, occur
     if m is None or by is None:
         return None
     if occurrence == 0:
-        return _compiled(r, flags or "").sub(lambda _: by, s[max(pos - 1, 0) :])
+        try:
+            return _compiled(r, flags or "").sub(by, s[max(pos - 1, 0) :])
+        except (re.error, IndexError):  # a group that the pattern hasn't
+            return None
     if occurrence > len(m):
         return s
     x = m[occurrence - 1]
-    return s[: x.start()] + by + s[x.end() :]
+    try:
+        return s[: x.start()] + x.expand(by) + s[x.end() :]
+    except (re.error, IndexError):
+        return None
 
 
 def regexp_substr(s: str | None, r: str | None, pos: int, occurrence: int, flags: str) -> str | None:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from fedsql.session import written
+
 MOST_COLUMNS = 10_000
 
 
@@ -41,9 +43,12 @@ def h4v(df: DataFrame, key: str, value: str, ident: str | None = None) -> DataFr
     names = _values(df, key)
     if ident:
         return df.groupBy(_c(ident)).pivot(key, names).agg(F.first(_c(value), ignorenulls=True))
-    numbered = df.withColumn("__o", F.monotonically_increasing_id())
-    order = W.partitionBy(_c(key)).orderBy("__o")
-    rows = numbered.withColumn("__row", F.row_number().over(order))  # the k-th time a key comes it is the k-th row's
+    numbered = written(df.withColumn("__o", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__o", 33)), "numbered")
+    # the k-th time a key comes it is the k-th row's: counted by partition first, so that no key is one task's work
+    before = W.partitionBy(_c(key)).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    bases = numbered.groupBy(_c(key), "__p").agg(F.count(F.lit(1)).alias("__n")).select(_c(key).alias("__k"), F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inside = W.partitionBy(_c(key), "__p").orderBy("__o")
+    rows = numbered.join(bases, _c(key).eqNullSafe(F.col("__k")) & (F.col("__p") == F.col("__q"))).withColumn("__row", F.col("__base") + F.row_number().over(inside)).drop("__k", "__q", "__base", "__p")
     return rows.groupBy("__row").pivot(key, names).agg(F.first(_c(value), ignorenulls=True)).orderBy("__row").drop("__row")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fedsql.engine import Engine
 from fedsql.operators import merge, transforms
-from fedsql.session import table
+from fedsql.session import shared_path, table
 from fedsql.streaming import streams
 
 FLAGSHIP = """
@@ -26,7 +26,6 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "where_alias": ("SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE twice > 400000", "SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE o_totalprice * 2 > 400000"),
     "where_or_null": ("SELECT id, member_id, pay_amount FROM member_orders WHERE pay_amount IS NULL OR (member_id IS NOT NULL AND pay_amount > 400)", None),
     "order_limit_offset": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10, 25", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 10"),
-    "order_nulls_first": ("SELECT id, pay_amount FROM member_orders ORDER BY pay_amount, id LIMIT 200", "SELECT id, pay_amount FROM member_orders ORDER BY pay_amount NULLS FIRST, id LIMIT 200"),
     "order_nulls_ranked": ("SELECT id, pay_amount, ROW_NUMBER() OVER (PARTITION BY status ORDER BY pay_amount, id) AS n FROM member_orders", "SELECT id, pay_amount, ROW_NUMBER() OVER (PARTITION BY status ORDER BY pay_amount NULLS FIRST, id) AS n FROM member_orders"),
     "limit_negative": ("SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT -5", "SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 20"),
     "distinct_rows": ("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", None),
@@ -111,6 +110,25 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "insert_di_mode": ("INSERT INTO t SELECT n_nationkey AS k, n_name AS name FROM nation; INSERT INTO `t<DI>` SELECT n_nationkey AS `k<pk>`, 'x' AS name FROM nation WHERE n_nationkey > 20; SELECT k, name FROM t", "SELECT n_nationkey AS k, CASE WHEN n_nationkey > 20 THEN 'x' ELSE n_name END AS name FROM nation"),
     "update_join": ("INSERT INTO t SELECT n_nationkey AS k, n_regionkey AS r, n_name AS name FROM nation; UPDATE t INNER JOIN region g ON t.r = g.r_regionkey SET t.k = t.k, t.name = g.r_name WHERE g.r_regionkey > 2; SELECT k, name FROM t", "SELECT n_nationkey AS k, CASE WHEN n_regionkey > 2 THEN r_name ELSE n_name END AS name FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "delete_rows": ("INSERT INTO t SELECT n_nationkey AS k, n_name AS name FROM nation; DELETE FROM t WHERE k > 10 OR name LIKE 'A%'; SELECT k, name FROM t", "SELECT n_nationkey AS k, n_name AS name FROM nation WHERE NOT (n_nationkey > 10 OR n_name LIKE 'A%')"),
+    "theta_join_alone": ("SELECT a.s_suppkey AS a, b.r_regionkey AS b FROM supplier a INNER JOIN region b ON a.s_nationkey > b.r_regionkey", None),
+    "natural_join": ("SELECT o_orderkey, n FROM (SELECT o_orderkey, o_custkey AS k FROM orders) x NATURAL JOIN (SELECT c_custkey AS k, c_nationkey AS n FROM customer) y", None),
+    "lateral_join": ("SELECT c.c_custkey, t.n FROM customer c, LATERAL (SELECT COUNT(*) AS n FROM orders o WHERE o.o_custkey = c.c_custkey) t", None),
+    "trig_funcs": ("SELECT p_partkey, ROUND(SIN(p_size), 6) AS si, ROUND(COS(p_size), 6) AS co, ROUND(TAN(p_size / 40), 6) AS ta, ROUND(ATAN(p_size), 6) AS at, ROUND(ASIN(p_size / 100), 6) AS asi, ROUND(ACOS(p_size / 100), 6) AS aco, ROUND(PI(), 6) AS pi_, ROUND(EXP(p_size / 10), 4) AS e, POWER(p_size, 3) AS pw, CEILING(p_retailprice) AS c, RAND() < 1 AS r FROM part", "SELECT p_partkey, round(sin(p_size), 6) AS si, round(cos(p_size), 6) AS co, round(tan(p_size / 40), 6) AS ta, round(atan(p_size), 6) AS at, round(asin(p_size / 100), 6) AS asi, round(acos(p_size / 100), 6) AS aco, round(pi(), 6) AS pi_, round(exp(p_size / 10), 4) AS e, power(p_size, 3) AS pw, CAST(ceil(p_retailprice) AS BIGINT) AS c, 1 AS r FROM part"),
+    "bit_pair_funcs": ("SELECT p_partkey, BIT_AND(p_size, 6) AS a, BIT_OR(p_size, 9) AS o, BIT_XOR(p_size, 5) AS x, BITWISEAND(p_size, 3) AS ba, BITWISEOR(p_size, 64) AS bo, BITWISEXOR(p_size, 7) AS bx, BITWISENOT(p_size) AS bn, BITWISELEFTSHIFT(p_size, 3) AS bl, BITWISERIGHTSHIFT(p_size, 2) AS br, ADD(p_size, 2) AS ad, SUB(p_size, 2) AS su, MUL(p_size, 2) AS mu, DIV(p_size, 4) AS di FROM part", "SELECT p_partkey, CAST(p_size & 6 AS BIGINT) AS a, CAST(p_size | 9 AS BIGINT) AS o, CAST(xor(p_size, 5) AS BIGINT) AS x, CAST(p_size & 3 AS BIGINT) AS ba, CAST(p_size | 64 AS BIGINT) AS bo, CAST(xor(p_size, 7) AS BIGINT) AS bx, CAST(~p_size AS BIGINT) AS bn, CAST(p_size << 3 AS BIGINT) AS bl, CAST(p_size >> 2 AS BIGINT) AS br, p_size + 2 AS ad, p_size - 2 AS su, p_size * 2 AS mu, p_size / 4 AS di FROM part"),
+    "string_codes": ("SELECT p_partkey, BIN(p_size) AS b, HEX(p_size) AS h, HEX(p_brand) AS hb, UNHEX(HEX(p_brand)) AS uh, OCT(p_size) AS o, ORD(LEFT(p_brand, 1)) AS od, ASCII(LEFT(p_brand, 1)) AS asc_, CHAR(66, 65) AS ch, BIT_LENGTH(p_brand) AS bl, CHAR_LENGTH(p_name) AS cl, CHARACTER_LENGTH(p_name) AS cl2, FROM_BASE64(TO_BASE64(p_brand)) AS b64, CRC32('hello') AS crc FROM part", "SELECT p_partkey, '0b' || bin(p_size) AS b, '0x' || lower(hex(p_size)) AS h, lower(hex(p_brand)) AS hb, p_brand AS uh, printf('%o', p_size) AS o, ascii(left(p_brand, 1)) AS od, ascii(left(p_brand, 1)) AS asc_, 'BA' AS ch, CAST(strlen(p_brand) * 8 AS INT) AS bl, CAST(length(p_name) AS INT) AS cl, CAST(length(p_name) AS INT) AS cl2, p_brand AS b64, CAST(907060870 AS BIGINT) AS crc FROM part"),
+    "string_places": ("SELECT p_partkey, INSERT(p_brand, 1, 5, 'X') AS ins, UCASE(p_name) AS uc, TRIM(concat('  ', p_brand, ' ')) AS tr, ELT(2, p_brand, p_type) AS el, FIELD(p_brand, 'Brand#11', 'Brand#22') AS fi, FIND_IN_SET(p_brand, 'Brand#11,Brand#22') AS fs, SUBSTRING_INDEX(p_type, ' ', 1) AS sx, STARTSWITH(p_brand, 'Brand#1') AS sw, ENDSWITH(p_brand, '1') AS ew, CONTAINS(p_type, 'TIN') AS ct, SUBSTR(p_brand, 7) AS ss FROM part", "SELECT p_partkey, 'X' || substr(p_brand, 6) AS ins, upper(p_name) AS uc, p_brand AS tr, p_type AS el, CASE p_brand WHEN 'Brand#11' THEN 1 WHEN 'Brand#22' THEN 2 ELSE 0 END AS fi, CASE p_brand WHEN 'Brand#11' THEN 1 WHEN 'Brand#22' THEN 2 ELSE 0 END AS fs, split_part(p_type, ' ', 1) AS sx, CAST(starts_with(p_brand, 'Brand#1') AS INT) AS sw, CAST(p_brand LIKE '%1' AS INT) AS ew, CAST(contains(p_type, 'TIN') AS INT) AS ct, substr(p_brand, 7) AS ss FROM part"),
+    "network_funcs": ("SELECT p_partkey, INET4_ATON(concat('10.0.', p_size, '.1')) AS a, INET4_NTOA(INET4_ATON(concat('10.0.', p_size, '.1'))) AS n, IS_IPV4(concat('10.0.', p_size * 10, '.1')) AS v4, INET6_ATON(concat('::', p_size)) AS a6, INET6_NTOA(INET6_ATON('::1')) AS n6, IS_IPV6(concat('::', p_brand)) AS v6 FROM part", "SELECT p_partkey, '0a00' || printf('%02x', p_size) || '01' AS a, '10.0.' || p_size || '.1' AS n, CAST(p_size * 10 < 256 AS INT) AS v4, lpad(CAST(p_size AS VARCHAR), 32, '0') AS a6, '::1' AS n6, 0 AS v6 FROM part"),
+    "calendar_funcs": ("SELECT o_orderkey, MONTHNAME(o_orderdate) AS mn, DAYNAME(o_orderdate) AS dn, DATE_FORMAT(ADDDATE(o_orderdate, 3), '%Y-%m-%d') AS ad, DATE_FORMAT(SUBDATE(o_orderdate, 3), '%Y-%m-%d') AS sd, DATE_FORMAT(DATEADD(o_orderdate, INTERVAL 2 DAY), '%Y-%m-%d') AS da, DATE_FORMAT(DATESUB(o_orderdate, INTERVAL 2 DAY), '%Y-%m-%d') AS ds, DATE_FORMAT(DATE(o_orderdate), '%d') AS d, DATE_FORMAT(FROM_UNIXTIME(UNIX_TIMESTAMP(o_orderdate)), '%Y-%m-%d') AS fu FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%b') AS mn, dayname(o_orderdate) AS dn, strftime(o_orderdate + INTERVAL 3 DAY, '%Y-%m-%d') AS ad, strftime(o_orderdate - INTERVAL 3 DAY, '%Y-%m-%d') AS sd, strftime(o_orderdate + INTERVAL 2 DAY, '%Y-%m-%d') AS da, strftime(o_orderdate - INTERVAL 2 DAY, '%Y-%m-%d') AS ds, strftime(o_orderdate, '%d') AS d, strftime(o_orderdate, '%Y-%m-%d') AS fu FROM orders"),
+    "week_funcs": ("SELECT o_orderkey, WEEK(o_orderdate) AS w, WEEK(o_orderdate, 1) AS w1, YEARWEEK(o_orderdate) AS yw FROM orders", "SELECT o_orderkey, CAST(strftime(o_orderdate, '%U') AS INT) AS w, CAST(strftime(o_orderdate, '%W') AS INT) AS w1, CAST(year(o_orderdate) * 100 + CAST(strftime(o_orderdate, '%U') AS INT) AS INT) AS yw FROM orders"),
+    "clock_funcs": ("SELECT event_id, TIME(ts) AS t, TIME_FORMAT(ts, '%H-%M') AS tf, TIME_TO_SEC(TIME(ts)) AS s, SEC_TO_TIME(TIME_TO_SEC(TIME(ts))) AS back, UNIX_TIMESTAMP(ADDTIME(ts, '1:02:03')) - UNIX_TIMESTAMP(ts) AS more, UNIX_TIMESTAMP(ts) - UNIX_TIMESTAMP(SUBTIME(ts, '0:00:30')) AS less, DATE_FORMAT(DATETIME(ts), '%Y') AS y FROM events", "SELECT event_id, strftime(ts, '%H:%M:%S') AS t, strftime(ts, '%H-%M') AS tf, CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS BIGINT) AS s, strftime(ts, '%H:%M:%S') AS back, CAST(3723 AS BIGINT) AS more, CAST(30 AS BIGINT) AS less, strftime(ts, '%Y') AS y FROM events"),
+    "now_funcs": ("SELECT r_regionkey, DATEDIFF(CURDATE(), CURRENTDATE()) AS a, UNIX_TIMESTAMP(CURRENTTIMESTAMP()) - UNIX_TIMESTAMP(SYSDATE()) AS b, UNIX_TIMESTAMP(NOW()) - UNIX_TIMESTAMP(UTC_TIMESTAMP()) AS c, CHAR_LENGTH(CURTIME()) AS d, CHAR_LENGTH(CURRENTTIME()) AS e, CHAR_LENGTH(UTC_TIME()) AS f, UNIX_TIMESTAMP(NOW('1d')) - UNIX_TIMESTAMP(NOW()) AS g, YEAR(UTC_DATE()) > 2000 AS h FROM region", "SELECT r_regionkey, 0 AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c, 8 AS d, 8 AS e, 8 AS f, CAST(86400 AS BIGINT) AS g, 1 AS h FROM region"),
+    "logic_funcs": ("SELECT p_partkey, EQ(p_size, 5) AS e, NEQ(p_size, 5) AS ne, GT(p_size, 5) AS g, GTE(p_size, 5) AS ge, LT(p_size, 5) AS l, LTE(p_size, 5) AS le, IS(p_size, 5) AS i, IS_NOT(p_size, 5) AS nt, NOT(p_size > 5) AS n, EXISTS((1, 2)) AS x, EXISTS(p_size - p_size) AS z FROM part", "SELECT p_partkey, CAST(p_size = 5 AS INT) AS e, CAST(p_size <> 5 AS INT) AS ne, CAST(p_size > 5 AS INT) AS g, CAST(p_size >= 5 AS INT) AS ge, CAST(p_size < 5 AS INT) AS l, CAST(p_size <= 5 AS INT) AS le, CAST(p_size = 5 AS INT) AS i, CAST(p_size <> 5 AS INT) AS nt, CAST(p_size <= 5 AS INT) AS n, 1 AS x, 0 AS z FROM part"),
+    "json_build": ("SELECT p_partkey, JSON_ARRAY(p_size, p_brand) AS a, JSON_OBJECT('k', p_size) AS o, JSON_CONTAINS(JSON_OBJECT('k', p_size), '5', '$.k') AS c, JSON_EXTRACT(JSON_ENCODE(JSON_OBJECT('k', p_size)), '$') IS NOT NULL AS e, JSON_DECODE('[1]') IS NOT NULL AS d FROM part", "SELECT p_partkey, '[' || p_size || ',\"' || p_brand || '\"]' AS a, '{\"k\":' || p_size || '}' AS o, CAST(p_size = 5 AS INT) AS c, 1 AS e, 1 AS d FROM part"),
+    "regexp_more": ("SELECT p_partkey, REGEXP_REPLACE(p_brand, '([a-z]+)#([0-9])', '\\\\2-\\\\1') AS swap, REGEXP_REPLACE(p_brand, '[a-z]', 'x', 1, 2) AS second, REGEXPLIKE(p_type, '[A-M]') AS m, REGEXP_SUBSTR(p_type, '[A-Z]', 1, 2) AS word, LIKE(p_brand, 'Brand#1%') AS lk FROM part", "SELECT p_partkey, regexp_replace(p_brand, '([A-Za-z]+)#([0-9])', '\\2-\\1') AS swap, left(p_brand, 1) || 'x' || substr(p_brand, 3) AS second, CAST(regexp_matches(p_type, '^[A-Ma-m]') AS INT) AS m, substr(p_type, 2, 1) AS word, CAST(p_brand LIKE 'Brand#1%' AS INT) AS lk FROM part"),
+    "is_funcs": ("SELECT p_partkey, IS_INT(p_size) AS a, IS_FLOAT(p_retailprice) AS b, IS_STRING(p_brand) AS c, IS_NULL(p_brand) AS d, IS_NUMBER(p_brand) AS e, IS_ARRAY((1, 2)) AS f, IS_UUID(UUID()) AS g, IS_OBJECTID(OBJECTID()) AS h, IS_BOOL(p_brand) AS i, IS_TIME('10:11:12') AS j FROM part", "SELECT p_partkey, 1 AS a, 1 AS b, 1 AS c, 0 AS d, 0 AS e, 1 AS f, 1 AS g, 1 AS h, 0 AS i, 1 AS j FROM part"),
+    "convert_funcs": ("SELECT p_partkey, CONVERT_INT(p_retailprice) AS a, CONVERT_STRING(p_size) AS b, CONVERT_FLOAT(p_size) AS c, JOIN(CONVERT_ARRAY((p_size, 1)), ',') AS d, JOIN(CONVERT_SET((7, 7, 8)), ',') AS e, JOIN(CONVERT_ARRAY(p_brand), ',') AS f, DATE_FORMAT(CONVERT_DATETIME('2024-05-06 07:08:09'), '%H') AS g, CONVERT_TIME('2024-05-06 07:08:09') AS h FROM part", "SELECT p_partkey, CAST(trunc(p_retailprice) AS BIGINT) AS a, CAST(p_size AS VARCHAR) AS b, CAST(p_size AS DOUBLE) AS c, p_size || ',1' AS d, '7,8' AS e, p_brand AS f, '07' AS g, '07:08:09' AS h FROM part"),
+    "random_funcs": ("SELECT p_partkey, CHAR_LENGTH(RANDOM$HEXS(100)) AS a, RANDOM$HEXS(70) REGEXP '[0-9a-f]{70}' AS b, CHAR_LENGTH(RANDOM$LETTERS(9)) AS c, RANDOM$DIGITS(5) REGEXP '[0-9]{5}' AS d, RANDOM$INT(3, 5) BETWEEN 3 AND 5 AS e, CHAR_LENGTH(RANDOM$STRING(6)) AS f, CONTAINS((1, 2), RANDOM$CHOICE((1, 2))) AS g, RANDOM() < 1 AS h, SNOWFLAKEID() > 0 AS i, CHAR_LENGTH(UUID$UUID4()) AS j FROM part", "SELECT p_partkey, 100 AS a, 1 AS b, 9 AS c, 1 AS d, 1 AS e, 6 AS f, 1 AS g, 1 AS h, 1 AS i, 36 AS j FROM part"),
+    "list_funcs": ("SELECT p_partkey, JOIN(ADD((p_size, 2, 3), 1), ',') AS a, JOIN(MUL((p_size, 2), (2, 3)), ',') AS m, JOIN(RANGE(0, 3), ',') AS r, JOIN(SPLIT(p_type, ' '), '|') AS s, NEG(p_size) AS n, MATH$POW(p_size, 2) AS p FROM part", "SELECT p_partkey, (p_size + 1) || ',3,4' AS a, (p_size * 2) || ',6' AS m, '0,1,2' AS r, replace(p_type, ' ', '|') AS s, -p_size AS n, power(p_size, 2) AS p FROM part"),
 }
 
 
@@ -124,6 +142,34 @@ def _run(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+#: Written to and read from files in the shared folder; ``${out}`` is a new one for each run.
+FILE_PAIRS: dict[str, tuple[str, str]] = {
+    **{f"file_append_{kind}": (
+        f"INSERT INTO `${{out}}/o.{kind}` SELECT o_orderkey, o_custkey FROM orders; INSERT INTO `${{out}}/o.{kind}` SELECT c_nationkey AS o_custkey, c_custkey AS o_orderkey FROM customer; SELECT o_orderkey, o_custkey FROM `${{out}}/o.{kind}`",
+        "SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT c_custkey, c_nationkey FROM customer",
+    ) for kind in ("csv", "json", "parquet")},
+    **{f"file_{mode.lower()}": (
+        f"INSERT INTO `${{out}}/t.csv` SELECT o_orderkey AS k, o_custkey AS v FROM orders; INSERT INTO `${{out}}/t.csv<{mode}>` SELECT id AS `k<pk>`, status AS v FROM (SELECT id, MAX(status) AS status FROM member_orders WHERE id IS NOT NULL AND status IS NOT NULL GROUP BY id) m; SELECT k, v FROM `${{out}}/t.csv`",
+        sql,
+    ) for mode, sql in (
+        ("U", "SELECT o_orderkey AS k, COALESCE(m.s, o_custkey) AS v FROM orders LEFT JOIN (SELECT id, MAX(status) AS s FROM member_orders WHERE id IS NOT NULL AND status IS NOT NULL GROUP BY id) m ON id = o_orderkey"),
+        ("UI", "SELECT COALESCE(o_orderkey, id) AS k, COALESCE(m.s, o_custkey) AS v FROM orders FULL JOIN (SELECT id, MAX(status) AS s FROM member_orders WHERE id IS NOT NULL AND status IS NOT NULL GROUP BY id) m ON id = o_orderkey"),
+        ("UDI", "SELECT id AS k, MAX(status) AS v FROM member_orders WHERE id IS NOT NULL AND status IS NOT NULL GROUP BY id"),
+        ("DI", "SELECT id AS k, MAX(status) AS v FROM member_orders WHERE id IS NOT NULL AND status IS NOT NULL GROUP BY id"),
+    )},
+}
+
+
+def _run_files(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        engine = Engine(spark)
+        engine.session.folder = d
+        engine.set_variable("out", shared_path(spark, "files"))
+        return engine.execute(sql)
+
+    return query
+
+
 def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
     return streams.sliding(table(spark, d, "events"), "ts", "2 hours", "1 hour", ["event_type"], [F.count(F.lit(1)).alias("n")]).select("window_start", "event_type", "n")
 
@@ -148,8 +194,10 @@ def python_generator(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merge_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Each order's total from its lines, into the orders by their keys."""
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    return merge.merge(o.filter("o_orderkey % 3 <> 0"), o.filter("o_orderkey % 2 = 0").withColumn("o_totalprice", F.lit(0.0)), ["o_orderkey"], "UI")
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).cast("double").alias("o_totalprice"))
+    return merge.merge(o, lines, ["o_orderkey"], "UI")
 
 
 def _merge_states(mode: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -166,18 +214,23 @@ def transform_function(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    **{name: _run(sql) for name, (sql, _) in PAIRS.items()},
+    **{name: _run(sql) for name, (sql, _) in PAIRS.items()}, **{name: _run_files(sql) for name, (sql, _) in FILE_PAIRS.items()},
     "sliding_windows": sliding_windows, "session_windows": session_windows, "python_aggregate": python_aggregate, "python_generator": python_generator, "merge_upsert": merge_upsert, **{f"merge_states_{m.lower()}": _merge_states(m) for m in ("U", "UI", "UDI")}, "transform_function": transform_function,
 }
 
 SQL: dict[str, str] = {
-    **{name: other or sql for name, (sql, other) in PAIRS.items()},
+    **{name: other or sql for name, (sql, other) in PAIRS.items()}, **{name: sql for name, (_, sql) in FILE_PAIRS.items()},
     "sliding_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 1 HOUR * k AS window_start, event_type, COUNT(*) AS n FROM events, (VALUES (0), (1)) v(k) GROUP BY 1, 2",
     "session_windows": """SELECT min(ts) AS window_start, user_id, COUNT(*) AS n FROM (
         SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
           SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s""",
     "python_aggregate": "SELECT 'L' || o_orderstatus AS label, MAX(o_totalprice) - MIN(o_totalprice) AS span FROM orders GROUP BY o_orderstatus",
     "python_generator": "SELECT r_regionkey, unnest(range(r_regionkey)) AS i FROM region",
-    "merge_upsert": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 0.0 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0",
+    "merge_upsert": "SELECT COALESCE(o_orderkey, l_orderkey) AS o_orderkey, COALESCE(n, o_totalprice) AS o_totalprice FROM orders FULL JOIN (SELECT l_orderkey, CAST(COUNT(*) AS DOUBLE) AS n FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey",
+    **{f"merge_states_{m}": sql for m, sql in (
+        ("u", "SELECT DISTINCT m.id, CASE WHEN f.id IS NULL THEN m.status ELSE f.status END AS status FROM member_orders m LEFT JOIN (SELECT id, MAX(status) AS status FROM order_feed GROUP BY id) f ON f.id = m.id WHERE m.id IS NOT NULL"),
+        ("ui", "SELECT DISTINCT COALESCE(m.id, f.id) AS id, CASE WHEN f.id IS NULL THEN m.status ELSE f.status END AS status FROM (SELECT * FROM member_orders WHERE id IS NOT NULL) m FULL JOIN (SELECT id, MAX(status) AS status FROM order_feed WHERE id IS NOT NULL GROUP BY id) f ON f.id = m.id"),
+        ("udi", "SELECT id, MAX(status) AS status FROM order_feed WHERE id IS NOT NULL GROUP BY id"),
+    )},
     "transform_function": "SELECT user_id, CAST(count(*) FILTER (event_type = 'click') AS BIGINT) AS click FROM events GROUP BY user_id",
 }

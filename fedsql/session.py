@@ -7,27 +7,49 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: dict[str, list[str]] = {}
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder (``spark.checkpoint.dir``).
+
+    Where it is unset, a temporary one in local mode, as in tests; on a cluster, where executors would each write to
+    their own disk, an error.
+    """
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        root = sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="fedsql-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="fedsql-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder in :func:`shared_root`."""
-    return f"{shared_root(spark).rstrip('/')}/fedsql/{name}-{uuid.uuid4().hex}"
+    """A new folder in :func:`shared_root` for what this application needs; it goes when the application ends, or with :func:`remove`."""
+    path = f"{shared_root(spark).rstrip('/')}/fedsql/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)  # only what exists can be marked
+    fs.deleteOnExit(at)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove(spark: SparkSession) -> None:
+    """Deletes all tables that this application has kept in the shared folder so far; frames that read them end with it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.mode("overwrite").option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

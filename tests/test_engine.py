@@ -188,7 +188,7 @@ def test_streams(spark, data, tmp_path):
     spark.read.parquet(f"{data}/events.parquet").repartition(4).write.parquet(f"{tmp_path}/in")
     schema = spark.read.parquet(f"{tmp_path}/in").schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
     taken = []
-    q = streams.into_table(streams.running(streams.file_stream(spark, f"{tmp_path}/in", schema, files_per_batch=2), "user_id", "value"), lambda df, n: taken.extend(df.collect()), "update")
+    q = streams.into_table(streams.running(streams.file_stream(spark, f"{tmp_path}/in", schema, files_per_batch=2), "user_id", "value"), lambda df, n: taken.extend(df.collect()), f"file://{tmp_path}/at", "update")
     q.awaitTermination(120)
     last = {r.user_id: r.n for r in taken}
     assert sum(last.values()) == spark.read.parquet(f"{tmp_path}/in").count()
@@ -200,7 +200,7 @@ def test_query_as_duckdb(spark, data, name):
 
     c = duckdb.connect()
     c.execute("set TimeZone = 'UTC'")
-    for t in ("region nation customer supplier part orders lineitem events demo user_data member_orders site_orders").split():
+    for t in ("region nation customer supplier part orders lineitem events demo user_data member_orders site_orders order_feed").split():
         c.execute(f"create view {t} as select * from read_parquet('{data}/{t}.parquet')")
     df = engine_queries.QUERIES[name](spark, data)
     want = c.execute(engine_queries.SQL[name])
@@ -233,3 +233,175 @@ def test_merges_of_whole_tables(spark, data):
     for mode, want in (("u", {k: new.get(k, v) for k, v in old.items()}), ("ui", old | new), ("udi", new)):
         rows = [tuple(r) for r in engine_queries.QUERIES[f"merge_states_{mode}"](spark, data).collect()]
         assert len(rows) == len(want) and dict(rows) == want, mode
+
+
+# ---- files and databases -------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("ending", ["csv", "json", "jsonl", "parquet", "orc", "txt"])
+def test_a_second_insert_adds_to_a_file(spark, tmp_path, ending):
+    e = Engine(spark, base=str(tmp_path))
+    e.execute(f"insert into `o.{ending}` select 1 as a, 'x' as b")
+    e.execute(f"insert into `o.{ending}` select 'y' as b, 2 as a" if ending != "txt" else f"insert into `o.{ending}` select 2 as a, 'y' as b")
+    df = e.execute(f"select * from `o.{ending}`")
+    first, second = ("seg0", "seg1") if ending == "txt" else ("a", "b")
+    assert sorted((str(r[first]), r[second]) for r in df.collect()) == [("1", "x"), ("2", "y")]
+
+
+def test_inserting_into_a_plain_file_and_with_new_columns(spark, tmp_path):
+    (tmp_path / "o.csv").write_text("a,b\n1,x\n")
+    (tmp_path / "p.json").write_text('[{"a": 1},\n {"a": 2}]')
+    e = Engine(spark, base=str(tmp_path))
+    e.execute("insert into `o.csv` select 2 as a, 'y' as b, 7 as c")
+    assert sorted((r.a, r.b, r.c) for r in e.execute("select a, b, c from `o.csv`").collect()) == [(1, "x", None), (2, "y", 7)]
+    e.execute("insert into `p.json` select 3 as a")
+    assert sorted(r.a for r in e.execute("select a from `p.json`").collect()) == [1, 2, 3]
+    e.execute("delete from `p.json` where a = 2")
+    assert sorted(r.a for r in e.execute("select a from `p.json`").collect()) == [1, 3]
+
+
+def test_databases_are_written_and_read(spark, tmp_path):
+    e = Engine(spark, config={"databases": [{"name": "shop", "driver": "derby", "url": f"jdbc:derby:{tmp_path}/shop;create=true", "virtual_views": {"v": 'select * from t where "k" >= #{k__gte:0} and "v" = #{v:20}'}}]})
+    e.execute("insert into `shop.t` select 1 as k, 10 as v; insert into `shop.t` select 2 as k, 20 as v")
+    assert sorted(map(tuple, e.execute("select k, v from `shop.t`").collect())) == [(1, 10), (2, 20)]
+    e.execute("insert into `shop.t<UI>` select 2 as `k<pk>`, 30 as v union all select 3, 20")
+    assert sorted(map(tuple, e.execute("select k, v from `shop.t`").collect())) == [(1, 10), (2, 30), (3, 20)]
+    assert [tuple(r) for r in e.execute("select k from `shop.v`").collect()] == [(3,)]
+    assert [tuple(r) for r in e.execute("select k from `shop.v` where v = 10 and k >= 1").collect()] == [(1,)]
+    e.execute("set @least = 2")
+    assert [tuple(r) for r in e.execute("select k from `shop.v` where v = 10 and k >= @least").collect()] == []
+    e.execute("delete from `shop.t` where k = 3; update `shop.t` set v = 99 where k = 1")
+    assert sorted(map(tuple, e.get_database("shop").table("t").collect())) == [(1, 99), (2, 30)]
+    with pytest.raises(SqlError, match="no database"):
+        e.get_database("none")
+
+
+def test_file_formats_said_beside_the_name(spark, tmp_path):
+    (tmp_path / "a.log").write_text("x,y\n1,2\n")
+    e = Engine(spark, base=str(tmp_path))
+    assert [tuple(r) for r in e.execute("select x, y from `a.log<csv>`").collect()] == [(1, 2)]
+    assert [r.line for r in e.execute("select line from `a.log<print>`").collect()] == ["x,y", "1,2"]
+    assert e.execute(f"select * from `file://{tmp_path}/a.log?sep=,&columns=3`").columns == ["seg0", "seg1", "seg2"]
+
+
+# ---- knobs and interfaces ------------------------------------------------------------------------
+
+
+def test_session_limit_and_bounded_values(spark, monkeypatch):
+    from fedsql import engine as module
+
+    e = Engine(spark)
+    e.register_table("many", spark.range(50))
+    e.execute("set @limit = 3")
+    assert e.execute("select id from many").count() == 3
+    e.execute("set @limit = 0")
+    monkeypatch.setattr(module, "MOST_INTO", 10)
+    with pytest.raises(SqlError, match="more than 10"):
+        e.execute("select id into @v from many")
+
+
+def test_classes_as_functions(spark):
+    from fedsql.functions import custom
+
+    class Doubled(custom.Calculater):
+        def calculate(self, x):
+            return x * 2
+
+    class Mean(custom.StateAggregate):
+        def aggregate(self, state, value):
+            n, total = state or (0, 0.0)
+            return n + 1, total + value
+
+        def final_value(self, state):
+            return state[1] / state[0] if state else None
+
+    class Place(custom.WindowStateAggregate):
+        def order_aggregate(self, state, value, context):
+            return (state or 0) + value * (context.current_index + 1)
+
+    e = Engine(spark)
+    e.use("doubled", Doubled)
+    e.register_aggregate("mean_of", Mean)
+    e.register_window("weighted", Place)
+    e.register_mysql_func("lower", lambda x: "own " + x)
+    e.register_table("t", spark.createDataFrame([(1, 1.0), (1, 3.0), (2, 5.0)], "k int, v double"))
+    assert sorted(map(tuple, e.execute("select k, doubled(k) as d, mean_of(v) as m from t group by k").collect())) == [(1, "2", 2.0), (2, "4", 5.0)]
+    assert sorted(r.w for r in e.execute("select weighted(v) over (partition by k order by v rows between unbounded preceding and current row) as w from t").collect()) == [1.0, 5.0, 7.0]
+    assert one(e, "lower('A')") == "own A"
+    import statistics
+
+    e.register_pyeval_module("statistics", statistics)
+    e.session.pyeval_allowed = True
+    assert one(e, "pyeval('statistics.mean([1, 2, 3])')") == 2
+    assert one(e, "pyevalt('abc', 'this.upper() + args[0]', '!')") == "ABC!"
+
+
+def test_the_module_is_an_engine(spark):
+    from fedsql import engine as module
+
+    module.set_variable("n", 4)
+    module.push_memory_datas("kept", {"a": 1})
+    module.use("plus_one", lambda x: x + 1)
+    assert module.get_variable("n") == 4 and module.get_memory_datas("kept") == [{"a": 1}]
+    assert rows(module.execute("select plus_one(a) as b, @n as n from kept")) == [("2", 4)]
+    assert module.pop_memory_datas("kept") == [{"a": 1}] and module.get_memory_datas("kept") == []
+    module.close()
+    assert module.get_variable("n") is None
+    module.close()
+
+
+def test_settings_of_a_session(spark):
+    e = Engine(spark)
+    e.execute("set @config.options.timeout = 5; set @config.variables.who = 'me'; set @config.caches.c = 'x'; set @config.caches.c = null")
+    assert e.session.settings == {"options": {"timeout": 5}, "caches": {}} and e.get_variable("who") == "me"
+
+
+# ---- plans ---------------------------------------------------------------------------------------
+
+
+def test_windows_hold_no_lists(spark, data):
+    e = Engine(spark)
+    e.session.folder = data
+    plan = e.execute("select *, nth_value(o_orderkey, 2) over (partition by o_custkey order by o_orderkey) a, nth_value(o_orderkey, -2) over (partition by o_custkey order by o_orderkey) b, count(distinct o_orderstatus) over (partition by o_custkey) c from orders where o_totalprice > 1000")
+    assert not [f for f in ("collect_list", "collect_set") if f in plan._jdf.queryExecution().toString()]
+    assert not [c for c in plan.columns if c.startswith("__")]
+    by = {}
+    for r in spark.read.parquet(f"{data}/orders.parquet").filter("o_totalprice > 1000").collect():
+        by.setdefault(r.o_custkey, []).append((r.o_orderkey, r.o_orderstatus))
+    for r in plan.collect():
+        own = sorted(by[r.o_custkey])
+        assert (r.a, r.b, r.c) == (own[1][0] if len(own) > 1 else None, own[-2][0] if len(own) > 1 else None, len({s for _, s in own}))
+
+
+def test_regular_expressions_by_default_are_spark_s_own(spark):
+    e = Engine(spark)
+    assert "fedsql_regexp" not in e.sql_of("select regexp_replace(a, 'b+', 'c') x, regexp_substr(a, 'b') y, regexp_instr(a, 'b') z from t") if e.register_table("t", spark.createDataFrame([("abB",)], "a string")) is None else False
+    assert one(e, r"regexp_replace('John Smith', '(\\w+) (\\w+)', '\\2, \\1')") == "Smith, John" and one(e, r"regexp_replace('aXb', 'x', '$1')") == "a$1b"
+    assert one(e, r"regexp_replace('John Smith', '(\\w+)', '<\\1>', 1, 2)") == "John <Smith>" and one(e, "regexp_substr('abc', 'x')") is None and one(e, "regexp_instr('abc', 'B')") == 2
+
+
+def test_json_objects_of_many_keys(spark):
+    e = Engine(spark)
+    e.register_table("t", spark.createDataFrame([(k % 700, k) for k in range(1400)], "k int, v int").coalesce(1))
+    got = json.loads(e.execute("select json_objectagg(k, v) as o from t").first().o)
+    assert got == {str(k): 700 + k for k in range(700)} and list(got)[:3] == ["0", "1", "2"]
+
+
+def test_columns_from_rows_of_a_frequent_key(spark):
+    df = spark.createDataFrame([("a" if k % 3 else "b", k) for k in range(30)], "k string, v int").coalesce(3)
+    got = [tuple(r) for r in transforms.h4v(df, "k", "v").collect()]
+    a, b = [k for k in range(30) if k % 3], [k for k in range(30) if not k % 3]
+    assert len(got) == 20 and [x for x, _ in got] == a and [y for _, y in got][:10] == b and got[10][1] is None
+
+
+def test_two_streams_joined(spark, tmp_path):
+    from datetime import datetime
+
+    at = lambda m: datetime(2024, 1, 1, 0, m)
+    spark.createDataFrame([(1, at(0), "a"), (2, at(5), "b")], "k int, ts timestamp, x string").write.parquet(f"{tmp_path}/l")
+    spark.createDataFrame([(1, at(3), "p"), (1, at(30), "q"), (2, at(1), "r")], "k int, ts timestamp, y string").write.parquet(f"{tmp_path}/r")
+    left, right = (streams.file_stream(spark, f"{tmp_path}/{n}", f"k int, ts timestamp, {c} string") for n, c in (("l", "x"), ("r", "y")))
+    got = []
+    for _ in range(2):  # started again, it goes on where it was
+        streams.into_table(streams.joined(left, right, ["k"], "ts", "ts", "10 minutes", "1 minute"), lambda df, n: got.extend(df.collect()), f"file://{tmp_path}/at").awaitTermination(120)
+    assert sorted((r.x, r.y, r.right_k) for r in got) == [("a", "p", 1), ("b", "r", 2)]
