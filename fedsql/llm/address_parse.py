@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 from typing import NamedTuple
 
 # ---- fixed values -------------------------------------------------------
@@ -153,17 +154,27 @@ def _area_field(text: str, level: str, area: dict[str, str | None]) -> None:
             return
 
 
-def parse(province: str | None, city: str | None, region: str | None, detail: str | None) -> Address | None:
-    """The address's tokens, or ``None`` where no place is named (empty, or fetched at the shop)."""
+@lru_cache(maxsize=200_000)
+def _areas(province: str | None, city: str | None, region: str | None) -> tuple[str | None, str | None, str | None] | None:
+    """Province, city and district of the three area fields, which repeat from row to row; ``None`` if fetched at the shop."""
     fields = [clean(x) for x in (province, city, region)]
-    rest = clean(detail)
-    if any(p in x for x in (*fields, rest) for p in PICK_UP):
+    if any(p in x for x in fields for p in PICK_UP):
         return None
     area: dict[str, str | None] = {"p": None, "c": None, "d": None}
     # fields whose ending names another level go first, so that a swapped pair lands right
     order = sorted(zip(fields, "pcd"), key=lambda x: not x[0].endswith((*PROVINCE_ENDS, *CITY_ENDS, *DISTRICT_ENDS)))
     for text, level in order:
         _area_field(text, level, area)
+    return area["p"], area["c"], area["d"]
+
+
+def parse(province: str | None, city: str | None, region: str | None, detail: str | None) -> Address | None:
+    """The address's tokens, or ``None`` where no place is named (empty, or fetched at the shop)."""
+    areas = _areas(province, city, region)
+    rest = clean(detail)
+    if areas is None or any(p in rest for p in PICK_UP):
+        return None
+    area: dict[str, str | None] = dict(zip("pcd", areas))
     rest = _take_area(rest, area)
     rest = _NUMBER_WORD.sub(lambda m: number_word(m[0]), rest)
     street = number = estate = building = unit = room = None

@@ -28,6 +28,7 @@ nothing else must agree but for swapped and doubled signs and endings.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Collection, Iterator
 
 import pandas as pd
@@ -200,22 +201,30 @@ def shingles(name: Column, fold: dict[str, str]) -> Column:
     return F.array_distinct(F.filter(F.split(name, ""), lambda s: s != ""))
 
 
-def _hashed(seed: int) -> Callable[[Column], Column]:
-    return lambda sign: F.xxhash64(sign, F.lit(seed))
+def bands(spelling: Column, fold: dict[str, str], n: int = BANDS, rows: int = ROWS) -> Column:
+    """The MinHash bands of a spelling's names, each keyed with the number tokens that must agree.
+
+    A sign is hashed once; the orders that the least hashes are taken in are those of the hashes with some bits turned.
+    """
+    let = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    turn = [int.from_bytes(hashlib.blake2b(bytes([k]), digest_size=8).digest(), "big", signed=True) for k in range(n * rows)]
 
+    def turned(mask: int) -> Callable[[Column], Column]:
+        return lambda h: h.bitwiseXOR(F.lit(mask).cast("bigint"))
 
-def bands(spelling: Column, fold: dict[str, str], n: int = BANDS, rows: int = ROWS) -> Column:
-    """The MinHash bands of a spelling's names, each keyed with the number tokens that must agree."""
-    part = F.split(spelling, r"\|")
-    flat = [part[k] for k in (6, 7, 8)]
-    out = []
-    # a street always has its house number beside it, an estate may be given with or without
-    for kind, numbers in ((3, [part[4], *flat]), (5, flat)):
-        signs = shingles(part[kind], fold)
-        for b in range(n):
-            least = [F.array_min(F.transform(signs, _hashed(b * rows + r))) for r in range(rows)]
-            out.append(F.when(part[kind] != "", F.xxhash64(F.lit(f"{KINDS[kind]}{b}"), *least, *numbers)))
-    return F.array_compact(F.array(*out))
+    def of_name(kind: int, part: Column, numbers: list[Column]) -> Column:
+        def keys(hashes: Column) -> Column:
+            return F.array(*(F.xxhash64(F.lit(f"{KINDS[kind]}{b}"), *(F.array_min(F.transform(hashes, turned(turn[b * rows + r]))) for r in range(rows)), *numbers) for b in range(n)))
+
+        signs = F.transform(shingles(part[kind], fold), lambda s: F.xxhash64(s))
+        return F.when(part[kind] == "", F.array().cast("array<bigint>")).otherwise(let(signs, keys))
+
+    def read(part: Column) -> Column:
+        flat = [part[k] for k in (6, 7, 8)]
+        # a street always has its house number beside it, an estate may be given with or without
+        return F.concat(of_name(3, part, [part[4], *flat]), of_name(5, part, flat))
+
+    return let(F.split(spelling, r"\|"), read)
 
 
 def spellings(df: DataFrame, ident: Column, province: Column, city: Column, region: Column, detail: Column) -> DataFrame:
