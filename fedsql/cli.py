@@ -40,6 +40,10 @@ def main(args: list[str] | None = None) -> int:
                     break
                 if waiting.strip().lower() in ("exit", "quit"):
                     break
+                if waiting.startswith("%cd "):
+                    engine.session.base = str(Path(engine.session.base or ".", waiting[4:].strip()).resolve())
+                    waiting = ""
+                    continue
                 if waiting.rstrip().endswith(";"):
                     try:
                         run(waiting)

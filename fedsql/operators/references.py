@@ -107,7 +107,7 @@ def orphans_at(references: DataFrame, existence: DataFrame) -> DataFrame:
     """
     refs = references.filter("key is not null and ts is not null")
     # one shuffle by key and day for taking out copies, counting, and the join below
-    refs = refs.withColumn("day", F.to_date("ts")).repartition("table_name", "key", "day")
+    refs = refs.withColumn("day", F.to_date("ts")).filter("day is not null and table_name is not null").repartition("table_name", "key", "day")
     if "sign" in refs.columns:  # a reference that went is none
         refs = refs.groupBy(*(c for c in refs.columns if c != "sign")).agg(F.sum("sign").alias("sign")).filter("sign > 0")
     else:

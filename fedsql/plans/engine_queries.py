@@ -66,11 +66,12 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "group_first": ("SELECT o_custkey, COUNT(*) AS n, c_name FROM orders o INNER JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY o_custkey", "SELECT o_custkey, COUNT(*) AS n, min(c_name) AS c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY o_custkey"),
     "group_by_alias_expr": ("SELECT YEAR(o_orderdate) AS y, MONTH(o_orderdate) AS m, COUNT(*) AS n FROM orders GROUP BY y, m", "SELECT CAST(YEAR(o_orderdate) AS INT) AS y, CAST(MONTH(o_orderdate) AS INT) AS m, COUNT(*) AS n FROM orders GROUP BY 1, 2"),
     "having_alias": ("SELECT o_custkey, COUNT(*) AS n, MAX(o_totalprice) AS most FROM orders GROUP BY o_custkey HAVING n > 8 AND most > 300000", "SELECT o_custkey, COUNT(*) AS n, MAX(o_totalprice) AS most FROM orders GROUP BY o_custkey HAVING COUNT(*) > 8 AND MAX(o_totalprice) > 300000"),
-    "group_concat_sorted": ("SELECT n_regionkey, GROUP_CONCAT(n_name ORDER BY n_name DESC SEPARATOR '|') AS names, GROUP_CONCAT(n_nationkey) AS keys FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name DESC) AS names, string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey) AS keys FROM nation GROUP BY n_regionkey"),
-    "group_array_join": ("SELECT n_regionkey, JOIN(GROUP_ARRAY(n_name), ',') AS names, JOIN(GROUP_UNIQ_ARRAY(n_name), ',') AS uniq FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names, string_agg(n_name, ',' ORDER BY n_name) AS uniq FROM nation GROUP BY n_regionkey"),
+    "group_concat_sorted": ("SELECT o_custkey, GROUP_CONCAT(o_orderpriority ORDER BY o_orderkey DESC SEPARATOR '|') AS names, GROUP_CONCAT(o_orderkey) AS keys FROM orders GROUP BY o_custkey", "SELECT o_custkey, string_agg(o_orderpriority, '|' ORDER BY o_orderkey DESC) AS names, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS keys FROM orders GROUP BY o_custkey"),
+    "group_array_join": ("SELECT o_custkey, JOIN(GROUP_ARRAY(o_orderkey), ',') AS ks, JOIN(GROUP_UNIQ_ARRAY(o_orderstatus), ',') AS uniq FROM orders GROUP BY o_custkey", "SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS ks, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS uniq FROM orders GROUP BY o_custkey"),
     "group_bits": ("SELECT p_brand, GROUP_BIT_AND(p_size) AS a, GROUP_BIT_OR(p_size) AS o, GROUP_BIT_XOR(p_size) AS x FROM part GROUP BY p_brand", "SELECT p_brand, CAST(bit_and(p_size) AS BIGINT) AS a, CAST(bit_or(p_size) AS BIGINT) AS o, CAST(bit_xor(p_size) AS BIGINT) AS x FROM part GROUP BY p_brand"),
-    "json_aggregates": ("SELECT n_regionkey, JSON_ARRAYAGG(n_nationkey) AS arr, JSON_OBJECTAGG(n_name, n_nationkey) AS obj FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, '[' || string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey) || ']' AS arr, '{' || string_agg('\"' || n_name || '\":' || n_nationkey, ',' ORDER BY n_nationkey) || '}' AS obj FROM nation GROUP BY n_regionkey"),
-    "any_value": ("SELECT n_regionkey, ANY_VALUE(n_name) AS name FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, arg_min(n_name, n_nationkey) AS name FROM nation GROUP BY n_regionkey"),
+    "json_aggregates": ("SELECT o_custkey, JSON_ARRAYAGG(o_orderkey) AS arr, JSON_OBJECTAGG(o_orderkey, o_orderstatus) AS obj FROM orders GROUP BY o_custkey", "SELECT o_custkey, '[' || string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) || ']' AS arr, '{' || string_agg('\"' || o_orderkey || '\":\"' || o_orderstatus || '\"', ',' ORDER BY o_orderkey) || '}' AS obj FROM orders GROUP BY o_custkey"),
+    "any_value": ("SELECT o_custkey, ANY_VALUE(o_orderkey) AS k FROM orders GROUP BY o_custkey", "SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY o_custkey"),
+    "agg_filter": ("SELECT o_orderpriority, COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS n, MAX(o_totalprice) FILTER (WHERE o_totalprice < 200000) AS m, COUNT(DISTINCT o_custkey) FILTER (WHERE o_orderstatus = 'O') AS c FROM orders GROUP BY o_orderpriority", None),
     "rollup": ("SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY ROLLUP(l_returnflag, l_linestatus)", None),
     "cube": ("SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY CUBE(o_orderstatus, o_orderpriority)", None),
     "grouping_sets": ("SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())", None),
@@ -88,28 +89,28 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "nested_paths": ("SELECT `order.orderId` AS oid, `order.payInfo.payTypes.:0` AS first_type, `order.goodses.:0.goodsId` AS gid, `order.address.mobile` AS mobile, `user.username` AS uname, `order.channel.:0` AS ch FROM user_data", "SELECT \"order\".orderId AS oid, \"order\".payInfo.payTypes[1] AS first_type, \"order\".goodses[1].goodsId AS gid, \"order\".\"address.mobile\" AS mobile, \"user.username\" AS uname, \"order\".\"channel.:0\" AS ch FROM user_data"),
     "nested_lists": ("SELECT `order.orderId` AS oid, JOIN(`order.goodses.goodsId`, ',') AS gids, JOIN(GET_VALUE(`order`, 'payInfo', 'payTypes', (0, 2)), '-') AS two FROM user_data", "SELECT \"order\".orderId AS oid, CASE WHEN \"order\".goodses IS NOT NULL THEN coalesce(array_to_string(list_transform(\"order\".goodses, lambda x: x.goodsId), ','), '') END AS gids, CASE WHEN \"order\".payInfo.payTypes IS NOT NULL THEN coalesce(array_to_string(\"order\".payInfo.payTypes[1:2], '-'), '') END AS two FROM user_data"),
     "type_annotations": ("SELECT `o_orderkey[str]` AS k, `o_totalprice[int]` AS p, `o_totalprice[str %.02f]` AS txt FROM orders", "SELECT CAST(o_orderkey AS VARCHAR) AS k, CAST(trunc(o_totalprice) AS BIGINT) AS p, printf('%.2f', o_totalprice) AS txt FROM orders"),
-    "string_funcs": ("SELECT n_nationkey, UPPER(n_name) AS u, LOWER(n_name) AS l, LENGTH(n_name) AS len, SUBSTRING(n_name, 2, 3) AS sub, REVERSE(n_name) AS rev, REPLACE(n_name, 'A', '_') AS rep, LEFT(n_name, 2) AS lft, RIGHT(n_name, 2) AS rgt, REPEAT('ab', 2) AS dbl, STRCMP(n_name, 'M') AS cmp, TO_BASE64(n_name) AS b64, CONCAT_WS('-', n_name, n_nationkey) AS cw FROM nation", "SELECT n_nationkey, upper(n_name) AS u, lower(n_name) AS l, strlen(n_name) AS len, substr(n_name, 2, 3) AS sub, reverse(n_name) AS rev, replace(n_name, 'A', '_') AS rep, left(n_name, 2) AS lft, right(n_name, 2) AS rgt, 'abab' AS dbl, CASE WHEN n_name = 'M' THEN 0 WHEN n_name < 'M' THEN -1 ELSE 1 END AS cmp, to_base64(encode(n_name)) AS b64, concat_ws('-', n_name, n_nationkey) AS cw FROM nation"),
+    "string_funcs": ("SELECT c_custkey, UPPER(c_name) AS u, LOWER(c_name) AS l, LENGTH(c_name) AS len, SUBSTRING(c_name, 2, 3) AS sub, REVERSE(c_name) AS rev, REPLACE(c_name, 'A', '_') AS rep, LEFT(c_name, 2) AS lft, RIGHT(c_name, 2) AS rgt, REPEAT('ab', 2) AS dbl, STRCMP(c_name, 'M') AS cmp, TO_BASE64(c_name) AS b64, CONCAT_WS('-', c_name, c_custkey) AS cw FROM customer", "SELECT c_custkey, upper(c_name) AS u, lower(c_name) AS l, strlen(c_name) AS len, substr(c_name, 2, 3) AS sub, reverse(c_name) AS rev, replace(c_name, 'A', '_') AS rep, left(c_name, 2) AS lft, right(c_name, 2) AS rgt, 'abab' AS dbl, CASE WHEN c_name = 'M' THEN 0 WHEN c_name < 'M' THEN -1 ELSE 1 END AS cmp, to_base64(encode(c_name)) AS b64, concat_ws('-', c_name, c_custkey) AS cw FROM customer"),
     "math_funcs": ("SELECT p_partkey, ABS(p_size - 25) AS a, ROUND(SQRT(p_size), 4) AS s, ROUND(LOG(p_size), 6) AS lg, ROUND(LN(p_size), 6) AS ln_, CEIL(p_retailprice) AS c, FLOOR(p_retailprice) AS f, SIGN(p_size - 25) AS sg, POW(p_size, 2) AS pw, GREATEST(p_size, 10) AS g, LEAST(p_size, 10) AS le, MOD(p_size, 4) AS m FROM part", "SELECT p_partkey, abs(p_size - 25) AS a, round(sqrt(p_size), 4) AS s, round(log10(p_size), 6) AS lg, round(ln(p_size), 6) AS ln_, CAST(ceil(p_retailprice) AS BIGINT) AS c, CAST(floor(p_retailprice) AS BIGINT) AS f, CAST(sign(p_size - 25) AS INT) AS sg, power(p_size, 2) AS pw, greatest(p_size, 10) AS g, least(p_size, 10) AS le, p_size % 4 AS m FROM part"),
     "date_funcs": ("SELECT o_orderkey, YEAR(o_orderdate) AS y, MONTH(o_orderdate) AS mo, DAYOFMONTH(o_orderdate) AS d, DAYOFWEEK(o_orderdate) AS dw, WEEKDAY(o_orderdate) AS wd, DAYOFYEAR(o_orderdate) AS dy, DATE_FORMAT(o_orderdate, '%Y-%m-%d') AS txt, DATE_ADD(o_orderdate, INTERVAL 1 MONTH) AS nm, DATEDIFF('1998-12-31', o_orderdate) AS dd, TIMESTAMPDIFF(DAY, o_orderdate, '1998-12-31') AS td, UNIX_TIMESTAMP(o_orderdate) AS ux FROM orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS mo, CAST(day(o_orderdate) AS INT) AS d, CAST(isodow(o_orderdate) AS INT) AS dw, CAST(isodow(o_orderdate) - 1 AS INT) AS wd, CAST(dayofyear(o_orderdate) AS INT) AS dy, strftime(o_orderdate, '%Y-%m-%d') AS txt, o_orderdate + INTERVAL 1 MONTH AS nm, CAST(trunc((epoch(o_orderdate) - epoch(TIMESTAMP '1998-12-31')) / 86400) AS INT) AS dd, CAST(trunc((epoch(TIMESTAMP '1998-12-31') - epoch(o_orderdate)) / 86400) AS BIGINT) AS td, CAST(epoch(o_orderdate) AS BIGINT) AS ux FROM orders"),
     "json_funcs": ("SELECT event_id, JSON_EXTRACT(props, '$.k') AS k, props->'$.k' AS arrow, JSON_VALID(props) AS ok, JSON_LENGTH(props) AS n, JOIN(JSON_KEYS(props), ',') AS ks, JSON_DEPTH(props) AS d, JSON_CONTAINS_PATH(props, 'one', '$.k', '$.zz') AS has, JSON_EXTRACT(JSON_SET(props, '$.z', 5), '$.z') AS z, JSON_REMOVE(props, '$.k') AS gone FROM events", "SELECT event_id, props->>'$.k' AS k, props->>'$.k' AS arrow, CAST(json_valid(props) AS INT) AS ok, CAST(len(json_keys(props)) AS INT) AS n, array_to_string(json_keys(props), ',') AS ks, 2 AS d, CAST(json_exists(props, '$.k') AS INT) AS has, '5' AS z, '{}' AS gone FROM events"),
     "regexp_funcs": ("SELECT p_partkey, p_type REGEXP '[A-M]' AS m, REGEXP_SUBSTR(p_brand, '[0-9]+') AS digits, REGEXP_REPLACE(p_brand, '[0-9]', 'x') AS masked, REGEXP_INSTR(p_brand, '[0-9]') AS at FROM part", "SELECT p_partkey, CAST(regexp_matches(p_type, '^[A-Ma-m]') AS INT) AS m, regexp_extract(p_brand, '[0-9]+') AS digits, regexp_replace(p_brand, '[0-9]', 'x', 'g') AS masked, CAST(length(regexp_extract(p_brand, '^[^0-9]*')) + 1 AS INT) AS at FROM part"),
     "bitwise": ("SELECT p_partkey, p_size & 6 AS a, p_size | 9 AS o, p_size ^ 5 AS x, p_size << 2 AS l, p_size >> 1 AS r, ~p_size AS n FROM part", "SELECT p_partkey, CAST(p_size & 6 AS BIGINT) AS a, CAST(p_size | 9 AS BIGINT) AS o, CAST(xor(p_size, 5) AS BIGINT) AS x, CAST(p_size << 2 AS BIGINT) AS l, CAST(p_size >> 1 AS BIGINT) AS r, CAST(~p_size AS BIGINT) AS n FROM part"),
     "time_window": ("SELECT TIME_WINDOW('15M', ts) AS w, event_type, COUNT(*) AS n, ROUND(SUM(value), 2) AS total FROM events GROUP BY w, event_type", "SELECT time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') AS w, event_type, COUNT(*) AS n, ROUND(SUM(value), 2) AS total FROM events GROUP BY 1, 2"),
-    "row_index_last": ("SELECT n_nationkey, ROW_INDEX() AS i, ROW_LAST(n_nationkey) AS before FROM nation", "SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS i, lag(n_nationkey) OVER (ORDER BY n_nationkey) AS before FROM nation"),
-    "session_counter": ("SELECT n_nationkey, @c := @c + 2 AS c FROM nation", "SELECT n_nationkey, CAST(2 * row_number() OVER (ORDER BY n_nationkey) AS BIGINT) AS c FROM nation"),
+    "row_index_last": ("SELECT c_custkey, ROW_INDEX() AS i, ROW_LAST(c_custkey) AS before FROM customer", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i, lag(c_custkey) OVER (ORDER BY c_custkey) AS before FROM customer"),
+    "session_counter": ("SELECT c_custkey, @c := @c + 2 AS c FROM customer", "SELECT c_custkey, CAST(2 * row_number() OVER (ORDER BY c_custkey) AS BIGINT) AS c FROM customer"),
     "transform_v2h": ("SELECT transform$v2h('o_orderstatus', 'o_orderpriority', 'n') FROM (SELECT o_orderpriority, o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderpriority, o_orderstatus) t", "SELECT o_orderpriority, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS F, CAST(count(*) FILTER (o_orderstatus = 'O') AS BIGINT) AS O, CAST(count(*) FILTER (o_orderstatus = 'P') AS BIGINT) AS P FROM orders GROUP BY o_orderpriority"),
     "transform_v4h": ("SELECT transform$v4h('k', 'v', 'n_nationkey') FROM (SELECT n_nationkey, n_name, n_regionkey FROM nation) t", "SELECT n_nationkey, 'n_name' AS k, n_name AS v FROM nation UNION ALL SELECT n_nationkey, 'n_regionkey', CAST(n_regionkey AS VARCHAR) FROM nation"),
     "transform_h2v": ("SELECT transform$h2v('part', 'o_orderkey', 'v') FROM (SELECT o_orderkey, o_custkey, o_orderkey * 2 AS twice FROM orders) t", "SELECT o_orderkey, 'o_custkey' AS part, o_custkey AS v FROM orders UNION ALL SELECT o_orderkey, 'twice', o_orderkey * 2 FROM orders"),
     "transform_h4v": ("SELECT transform$h4v('k', 'v', 'n_regionkey') FROM (SELECT n_regionkey, concat('f', MIN(n_nationkey) * 0) AS k, COUNT(*) AS v FROM nation GROUP BY n_regionkey) t", "SELECT n_regionkey, COUNT(*) AS f0 FROM nation GROUP BY n_regionkey"),
     "transform_uniqkv": ("SELECT transform$uniqkv('o_custkey', 'o_orderstatus', 'n') FROM (SELECT o_custkey, o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus) t", "SELECT o_custkey, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS F, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS O, nullif(count(*) FILTER (o_orderstatus = 'P'), 0) AS P FROM orders GROUP BY o_custkey"),
     "variables_into": ("SELECT MAX(o_totalprice) INTO @most FROM orders; SET @share = 0.9; SELECT o_orderkey FROM orders WHERE o_totalprice > @most * @share", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT MAX(o_totalprice) FROM orders) * 0.9"),
-    "insert_values_select": ("INSERT INTO kept VALUES (900, 'new', 1), (901, 'newer', 2); INSERT INTO kept SELECT n_nationkey AS col1, n_name AS col2, n_regionkey AS col3 FROM nation WHERE n_regionkey = 1; SELECT col1, col2, col3 FROM kept", "SELECT 900 AS col1, 'new' AS col2, 1 AS col3 UNION ALL SELECT 901, 'newer', 2 UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 1"),
-    "insert_update_mode": ("INSERT INTO t SELECT n_nationkey AS k, n_name AS name, 0 AS seen FROM nation; INSERT INTO `t<U>` SELECT n_nationkey AS `k<pk>`, 1 AS seen FROM nation WHERE n_regionkey = 2; SELECT k, name, seen FROM t", "SELECT n_nationkey AS k, n_name AS name, CASE WHEN n_regionkey = 2 THEN 1 ELSE 0 END AS seen FROM nation"),
-    "insert_upsert_mode": ("INSERT INTO t SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_regionkey < 3; INSERT INTO `t<UI>` SELECT n_nationkey AS `k<pk>`, concat(n_name, '!') AS name FROM nation WHERE n_regionkey > 1; SELECT k, name FROM t", "SELECT n_nationkey AS k, CASE WHEN n_regionkey > 1 THEN n_name || '!' ELSE n_name END AS name FROM nation"),
-    "insert_udi_mode": ("INSERT INTO t SELECT n_nationkey AS k, n_name AS name FROM nation; INSERT INTO `t<UDI>` SELECT n_nationkey AS `k<pk>`, concat(n_name, '!') AS name FROM nation WHERE n_nationkey >= 10 AND n_regionkey = 1; SELECT k, name FROM t", "SELECT n_nationkey AS k, CASE WHEN n_nationkey >= 10 THEN n_name || '!' ELSE n_name END AS name FROM nation WHERE n_nationkey < 10 OR n_regionkey = 1"),
-    "insert_di_mode": ("INSERT INTO t SELECT n_nationkey AS k, n_name AS name FROM nation; INSERT INTO `t<DI>` SELECT n_nationkey AS `k<pk>`, 'x' AS name FROM nation WHERE n_nationkey > 20; SELECT k, name FROM t", "SELECT n_nationkey AS k, CASE WHEN n_nationkey > 20 THEN 'x' ELSE n_name END AS name FROM nation"),
-    "update_join": ("INSERT INTO t SELECT n_nationkey AS k, n_regionkey AS r, n_name AS name FROM nation; UPDATE t INNER JOIN region g ON t.r = g.r_regionkey SET t.k = t.k, t.name = g.r_name WHERE g.r_regionkey > 2; SELECT k, name FROM t", "SELECT n_nationkey AS k, CASE WHEN n_regionkey > 2 THEN r_name ELSE n_name END AS name FROM nation JOIN region ON n_regionkey = r_regionkey"),
-    "delete_rows": ("INSERT INTO t SELECT n_nationkey AS k, n_name AS name FROM nation; DELETE FROM t WHERE k > 10 OR name LIKE 'A%'; SELECT k, name FROM t", "SELECT n_nationkey AS k, n_name AS name FROM nation WHERE NOT (n_nationkey > 10 OR n_name LIKE 'A%')"),
+    "insert_values_select": ("INSERT INTO kept VALUES (-900, 'new', 1), (-901, 'newer', 2); INSERT INTO kept SELECT c_custkey AS col1, c_name AS col2, c_nationkey AS col3 FROM customer WHERE c_nationkey < 9; SELECT col1, col2, col3 FROM kept", "SELECT -900 AS col1, 'new' AS col2, 1 AS col3 UNION ALL SELECT -901, 'newer', 2 UNION ALL SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_nationkey < 9"),
+    "insert_update_mode": ("INSERT INTO t SELECT c_custkey AS k, c_name AS name, 0 AS seen FROM customer; INSERT INTO `t<U>` SELECT c_custkey AS `k<pk>`, 1 AS seen FROM customer WHERE c_nationkey = 2; SELECT k, name, seen FROM t", "SELECT c_custkey AS k, c_name AS name, CASE WHEN c_nationkey = 2 THEN 1 ELSE 0 END AS seen FROM customer"),
+    "insert_upsert_mode": ("INSERT INTO t SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_nationkey < 15; INSERT INTO `t<UI>` SELECT c_custkey AS `k<pk>`, concat(c_name, '!') AS name FROM customer WHERE c_nationkey > 10; SELECT k, name FROM t", "SELECT c_custkey AS k, CASE WHEN c_nationkey > 10 THEN c_name || '!' ELSE c_name END AS name FROM customer"),
+    "insert_udi_mode": ("INSERT INTO t SELECT c_custkey AS k, c_name AS name FROM customer; INSERT INTO `t<UDI>` SELECT c_custkey AS `k<pk>`, concat(c_name, '!') AS name FROM customer WHERE c_custkey >= 50 AND c_nationkey < 5; SELECT k, name FROM t", "SELECT c_custkey AS k, CASE WHEN c_custkey >= 50 THEN c_name || '!' ELSE c_name END AS name FROM customer WHERE c_custkey < 50 OR c_nationkey < 5"),
+    "insert_di_mode": ("INSERT INTO t SELECT c_custkey AS k, c_name AS name FROM customer; INSERT INTO `t<DI>` SELECT c_custkey AS `k<pk>`, 'x' AS name FROM customer WHERE c_custkey > 70; SELECT k, name FROM t", "SELECT c_custkey AS k, CASE WHEN c_custkey > 70 THEN 'x' ELSE c_name END AS name FROM customer"),
+    "update_join": ("INSERT INTO t SELECT c_custkey AS k, c_nationkey AS r, c_name AS name FROM customer; UPDATE t INNER JOIN nation g ON t.r = g.n_nationkey SET t.k = t.k, t.name = g.n_name WHERE g.n_regionkey > 2; SELECT k, name FROM t", "SELECT c_custkey AS k, CASE WHEN n_regionkey > 2 THEN n_name ELSE c_name END AS name FROM customer JOIN nation ON n_nationkey = c_nationkey"),
+    "delete_rows": ("INSERT INTO t SELECT c_custkey AS k, c_nationkey AS r, c_name AS name FROM customer; DELETE FROM t WHERE r > 10 OR name LIKE '%7'; SELECT k, name FROM t", "SELECT c_custkey AS k, c_name AS name FROM customer WHERE NOT (c_nationkey > 10 OR c_name LIKE '%7')"),
     "theta_join_alone": ("SELECT a.s_suppkey AS a, b.r_regionkey AS b FROM supplier a INNER JOIN region b ON a.s_nationkey > b.r_regionkey", None),
     "natural_join": ("SELECT o_orderkey, n FROM (SELECT o_orderkey, o_custkey AS k FROM orders) x NATURAL JOIN (SELECT c_custkey AS k, c_nationkey AS n FROM customer) y", None),
     "lateral_join": ("SELECT c.c_custkey, t.n FROM customer c, LATERAL (SELECT COUNT(*) AS n FROM orders o WHERE o.o_custkey = c.c_custkey) t", None),

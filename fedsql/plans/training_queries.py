@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fedsql.operators import instants, nested, references, rolling, versions
+from fedsql.plans import training_sql
 from fedsql.session import shared_path, table, written
 
 HOME = "Asia/Shanghai"
@@ -92,6 +93,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
 
 SQL = {
+    **training_sql.SQL,
     "p5_found": """
         WITH done AS (SELECT run_no, started_at, lag(started_at) OVER (ORDER BY started_at) AS since FROM run_log WHERE state = 'done'),
         latest AS (

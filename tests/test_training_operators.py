@@ -126,6 +126,46 @@ def test_viterbi_prefers_the_order_of_records(spark):
     assert instants.resolve(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("spread", [1, 6])
+def test_month_first_where_the_order_of_records_says_so(spark, spread):
+    texts = ["03/14/2023", "04/05/2023", "04/06/2023", "04/20/2023", "05/06/2023", "06/05/2023", "06/30/2023"]
+    df = spark.createDataFrame([(s, f"{i:03d}", t if s == "us" or int(t[:2]) < 13 and int(t[3:5]) < 13 else t[3:6] + t[:3] + t[6:]) for s in ("us", "eu") for i, t in enumerate(texts * spread if s == "eu" else texts)], "source string, key string, t string").repartition(4)
+    got = {}
+    for r in instants.resolve(df, "key", instants.readings(F.col("t"), F.lit("UTC"), day_first=None), keep=("t",)).collect():
+        got.setdefault(r.source, {})[r.key] = datetime.fromtimestamp(r.us / 1e6, UTC)
+    assert [d.strftime("%m/%d/%Y") for _, d in sorted(got["us"].items())] == texts
+    assert len(got["eu"]) == len(texts) * spread
+    by_rule = instants.readings(F.col("t"), F.lit("UTC"))
+    assert df.select(F.size(by_rule).alias("n")).filter("n > 1").count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(q.SQL))
+def test_query_as_duckdb(spark, data, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("demo", "site_orders", "member_orders", "user_data", "raw_records", "sites", "devices", "services", "order_feed", "run_log"):
+        c.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
+    columns = sorted(d[0] for d in c.execute(q.SQL[name]).description)
+    df = q.QUERIES[name](spark, data)
+    assert sorted(df.columns) == columns
+    assert sorted(map(tuple, df.select(columns).collect())) == sorted(tuple(r) for r in c.execute(f"select {', '.join(columns)} from ({q.SQL[name]})").fetchall())
+
+
+def test_tables_kept_on_the_way_can_be_removed(spark):
+    import os
+
+    from fedsql import session
+
+    path = session.shared_path(spark, "x").removeprefix("file://")
+    kept = session.written(spark.range(3), "y")
+    assert kept.count() == 3 and os.path.isdir(path)
+    session.remove(spark)
+    assert not os.path.exists(path)
+    with pytest.raises(Exception, match=r"FileNotFound|PATH_NOT_FOUND|not exist"):
+        kept.collect()
+
+
 def test_rolling_as_brute_force(spark):
     rng = random.Random(1)
     rows = [(rng.choice([1, 1, 1, 2, 3, None]), date(2023, 1, 1) + timedelta(days=rng.randrange(90)), rng.choice([None, float("nan"), 0.1, 12.34, -5.0])) for _ in range(300)] + [(4, None, 1.0)]
