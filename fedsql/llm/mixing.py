@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fedsql.llm.tokens import VOCABULARY, counter
+from fedsql.llm.tokens import counter
 from fedsql.session import written
 
 BLOCK = 2048
@@ -43,6 +43,8 @@ BLOCK = 2048
 BUCKET_DOCS = 50_000
 #: Slots unrolled from one row of the plan at most.
 PAGE = 65_536
+#: Tokens that one batch of encoded documents holds, about.
+HELD_TOKENS = 1_000_000
 #: Output shards at most: the plan, one row for each shard and source, is drawn on the driver.
 MOST_SHARDS = 10_000
 
@@ -51,17 +53,22 @@ def source_name(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, r"^\s+|\s+$", "")))
 
 
-def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, ids: bool = False) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str, ids: bool = False) -> DataFrame:
     """(doc_id, source, n_tokens) of documents with a source and a text; with ``ids``, the tokens too."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = counter(vocabulary)
         for f in frames:
-            if ids:
-                tokens = [c.encode(t) for t in f["text"]]
-                yield f[["doc_id", "source"]].assign(n_tokens=[len(t) for t in tokens], tokens=tokens)
-            else:
+            if not ids:
                 yield f[["doc_id", "source"]].assign(n_tokens=[c.count(t) for t in f["text"]])
+                continue
+            tokens, first, held = [], 0, 0
+            for k, t in enumerate(f["text"], 1):
+                tokens.append(np.array(c.encode(t), np.int32))
+                held += len(tokens[-1])
+                if held >= HELD_TOKENS or k == len(f):
+                    yield f.iloc[first:k][["doc_id", "source"]].assign(n_tokens=[len(t) for t in tokens], tokens=tokens)
+                    tokens, first, held = [], k, 0
 
     own = docs.select("doc_id", source_name(F.col("source")).alias("source"), "text").filter("source is not null and source <> '' and text is not null and text <> ''")
     return own.mapInPandas(run, "doc_id bigint, source string, n_tokens bigint" + (", tokens array<int>" if ids else ""))
@@ -250,7 +257,7 @@ class Mix:
         )
 
 
-def mix(docs: DataFrame, weights: DataFrame, size: int | None = None, shards: int | None = None, seed: int = 0, vocabulary: str = VOCABULARY, length: int = BLOCK, tokens: bool = False) -> Mix:
+def mix(docs: DataFrame, weights: DataFrame, vocabulary: str, size: int | None = None, shards: int | None = None, seed: int = 0, length: int = BLOCK, tokens: bool = False) -> Mix:
     """A mix of ``size`` tokens (all documents' with a source, if not given) of ``docs``(doc_id, source, text)
     by ``weights``(source, target_share, max_repeats), one row for each source, a small fixed table.
 

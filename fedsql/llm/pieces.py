@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from fedsql.llm.tokens import VOCABULARY, counter
+from fedsql.llm.tokens import counter
 
 PIECES = "doc_id bigint, piece_no int, n_pieces int, start_char bigint, end_char bigint, n_tokens int, overlap_tokens int"
 #: Penalty of a cut before the position that the pattern ends at.
@@ -75,7 +75,7 @@ def cuts(n: int, places: np.ndarray, penalties: np.ndarray, room: int, begins: n
     return out[::-1], float(best[-1])
 
 
-def split_text(text: str, limit: int = 4096, overlap: int = 128, vocabulary: str = VOCABULARY) -> list[tuple[int, int, int, int]]:
+def split_text(text: str, vocabulary: str, limit: int = 4096, overlap: int = 128) -> list[tuple[int, int, int, int]]:
     """(start character, end character, tokens, tokens of overlap) of each piece."""
     if not text:
         return []
@@ -119,7 +119,7 @@ def split_text(text: str, limit: int = 4096, overlap: int = 128, vocabulary: str
     return out
 
 
-def split_documents(docs: DataFrame, limit: int = 4096, overlap: int = 128, vocabulary: str = VOCABULARY) -> DataFrame:
+def split_documents(docs: DataFrame, vocabulary: str, limit: int = 4096, overlap: int = 128) -> DataFrame:
     """:data:`PIECES` of ``docs``(doc_id, text)."""
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
@@ -128,7 +128,7 @@ def split_documents(docs: DataFrame, limit: int = 4096, overlap: int = 128, voca
         for f in frames:
             out = []
             for d, t in zip(f["doc_id"], f["text"]):
-                parts = split_text(t, limit, overlap, vocabulary) if t else []
+                parts = split_text(t, vocabulary, limit, overlap) if t else []
                 out += [(d, k, len(parts), *p) for k, p in enumerate(parts)]
             yield pd.DataFrame(out, columns=["doc_id", "piece_no", "n_pieces", "start_char", "end_char", "n_tokens", "overlap_tokens"])
 

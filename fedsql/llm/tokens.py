@@ -1,7 +1,7 @@
 """Token counts and positions under a public tokenizer's byte-level vocabulary.
 
-The vocabulary file is a parameter (:data:`VOCABULARY`); it is read where it
-lies and never copied.  Text between a non-space and a space can be encoded
+The vocabulary file's path is a parameter of every operator; it is read where
+it lies, on each executor, and never copied.  Text between a non-space and a space can be encoded
 by itself, since no token of the split pattern goes across, so counts of the
 repeated pieces are remembered.
 """
@@ -9,14 +9,12 @@ repeated pieces are remembered.
 from __future__ import annotations
 
 import base64
-import os
 import re
 from functools import lru_cache
 
 import numpy as np
 import tiktoken
 
-VOCABULARY = os.environ.get("FEDSQL_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: How byte-level vocabularies of this family split text (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PIECE = re.compile(r"\s*\S+|\s+")
@@ -50,5 +48,5 @@ class Counter(dict):
 
 
 @lru_cache(maxsize=2)
-def counter(vocabulary: str = VOCABULARY) -> Counter:
+def counter(vocabulary: str) -> Counter:
     return Counter(vocabulary)

@@ -327,15 +327,15 @@ def test_leaks_with_every_kind_of_row(spark):
 # ---- tokens and pieces ---------------------------------------------------------------------------
 
 def test_counts_are_the_encoders(spark, data):
-    c = counter()
+    c = counter(queries.VOCABULARY)
     for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect() + [[" a  b\n\n c  d "], ["don't 'tis"], ["　全角 空格"], [" "], ["\n"]]:
         if r[0]:
             assert c.count(r[0]) == len(c.encode(r[0]))
 
 
 def check_pieces(text, limit, overlap):
-    c, ids = counter(), counter().encode(text)
-    parts = pieces.split_text(text, limit, overlap)
+    c, ids = counter(queries.VOCABULARY), counter(queries.VOCABULARY).encode(text)
+    parts = pieces.split_text(text, queries.VOCABULARY, limit, overlap)
     assert parts[0][0] == 0 and parts[-1][1] == len(text)
     assert all(n <= limit for *_, n, _ in parts) and all(b[0] < a[1] or overlap == 0 for a, b in zip(parts, parts[1:]))
     assert sum(n for *_, n, _ in parts) - sum(o for *_, o in parts) == len(ids)
@@ -384,9 +384,9 @@ def test_cuts_cost_least(seed):
 
 def test_pieces_of_every_kind_of_row(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (4, "long text. " * 4000), (None, "x")], "doc_id bigint, text string").withColumn("piece_no", F.lit("x"))
-    got = Counter(r.doc_id for r in pieces.split_documents(df).collect())
+    got = Counter(r.doc_id for r in pieces.split_documents(df, queries.VOCABULARY).collect())
     assert got[3] == 1 and got[4] > 2 and set(got) == {3, 4}
-    assert pieces.split_documents(df.limit(0)).count() == 0
+    assert pieces.split_documents(df.limit(0), queries.VOCABULARY).count() == 0
 
 
 # ---- mixing --------------------------------------------------------------------------------------
@@ -403,7 +403,7 @@ def test_mix_keeps_shares_caps_and_tokens(spark):
     docs = [(i, rng.choice(["A", " a ", "B"]), "word " * rng.randrange(1, 300)) for i in range(300)] + [(900, "a", None), (901, None, "x"), (902, "other", "y " * 50), (903, "c", "rare words " * 20)]
     df = spark.createDataFrame(docs, "doc_id bigint, source string, text string").withColumn("block", F.lit("x"))
     weights = spark.createDataFrame([("a", 0.5, 2), ("B", 0.3, 3), ("C", 0.1, 2), ("none", 0.1, 5)], "source string, target_share double, max_repeats int")
-    m = mixing.mix(df, weights, length=64, shards=4, tokens=True)
+    m = mixing.mix(df, weights, queries.VOCABULARY, length=64, shards=4, tokens=True)
     report = {r.source: r for r in m.report().collect()}
     assert {s for s, r in report.items() if r.short} == {"c", "none"}
     assert sum(r.actual_share for r in report.values()) == pytest.approx(1)
@@ -412,7 +412,7 @@ def test_mix_keeps_shares_caps_and_tokens(spark):
     parts = defaultdict(int)
     for r in m.parts.collect():
         parts[r.doc_id] += r.n_tokens
-    want = {i: counter().count(t) for i, s, t in docs if t and s in ("A", "a", " a ", "B", "c")}
+    want = {i: counter(queries.VOCABULARY).count(t) for i, s, t in docs if t and s in ("A", "a", " a ", "B", "c")}
     assert parts == want
     use = Counter((r.source, r.slot) for r in m.slots.collect())
     assert max(use.values()) == 1
@@ -452,8 +452,8 @@ def test_slots_of_a_long_run_are_unrolled_by_pages(spark):
 def test_mix_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id bigint, source string, text string")
     weights = spark.createDataFrame([("a", 0.5, 2), ("b", None, None)], "source string, target_share double, max_repeats int")
-    assert mixing.mix(docs, weights).report().filter("n_tokens > 0").count() == 0
-    assert mixing.mix(docs, weights.limit(0)).report().count() == 0
+    assert mixing.mix(docs, weights, queries.VOCABULARY).report().filter("n_tokens > 0").count() == 0
+    assert mixing.mix(docs, weights.limit(0), queries.VOCABULARY).report().count() == 0
 
 
 def test_queries_on_empty_tables(spark, data, tmp_path):
@@ -463,9 +463,23 @@ def test_queries_on_empty_tables(spark, data, tmp_path):
         assert f(spark, str(tmp_path)).count() == 0, name
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_as_duckdb(spark, data, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("member_orders", "order_historys", "documents", "source_weights"):
+        c.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
+    want = c.execute(queries.SQL[name])
+    columns = sorted(d[0] for d in want.description)
+    df = queries.QUERIES[name](spark, data)
+    assert sorted(df.columns) == columns
+    assert sorted(map(tuple, df.select(columns).collect())) == sorted(tuple(r) for r in c.execute(f"select {', '.join(columns)} from ({queries.SQL[name]})").fetchall())
+
+
 def test_the_mix_is_a_query_over_whole_tables(spark, data):
     mixed = queries.QUERIES["p9_mixed"](spark, data).selectExpr("shard", "source", "slot", "size(tokens) AS n").collect()
-    m = mixing.mix(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/source_weights.parquet"))
+    m = mixing.mix(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/source_weights.parquet"), queries.VOCABULARY)
     got = Counter()
     for r in mixed:
         got[r.source] += r.n
