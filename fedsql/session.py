@@ -7,7 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: dict[str, list[str]] = {}
+#: Folders of applications that are deleted when they end.
+_marked: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,22 +29,24 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder in :func:`shared_root` for what this application needs; it goes when the application ends, or with :func:`remove`."""
-    path = f"{shared_root(spark).rstrip('/')}/fedsql/{name}-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(at)  # only what exists can be marked
-    fs.deleteOnExit(at)
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
+    """A name for a new folder in this application's part of :func:`shared_root`, which goes when the application ends, or with :func:`remove`."""
+    own = f"{shared_root(spark).rstrip('/')}/fedsql/{spark.sparkContext.applicationId}"
+    if own not in _marked:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(at)  # only what exists can be marked
+        fs.deleteOnExit(at)
+        _marked.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def remove(spark: SparkSession) -> None:
     """Deletes all tables that this application has kept in the shared folder so far; frames that read them end with it."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _made.pop(spark.sparkContext.applicationId, []):
-        at = jvm.org.apache.hadoop.fs.Path(path)
+    for own in [x for x in _marked if x.endswith(spark.sparkContext.applicationId)]:
+        at = jvm.org.apache.hadoop.fs.Path(own)
         at.getFileSystem(conf).delete(at, True)
+        _marked.discard(own)
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
