@@ -19,6 +19,7 @@ character.  Rows with one id are copies.
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,45 +35,95 @@ ANYWHERE = 4.0
 IMBALANCE = 4.0
 
 
-def boundaries(text: str) -> dict[int, float]:
-    """Character position -> penalty of a cut there."""
-    out: dict[int, float] = {}
-    for pattern, penalty in BOUNDARIES:
-        for m in pattern.finditer(text):
-            out.setdefault(m.end(), penalty)
+def boundaries(text: str) -> np.ndarray:
+    """The penalty of a cut at each character position, infinity where there is no boundary."""
+    out = np.full(len(text) + 1, np.inf)
+    for pattern, penalty in reversed(BOUNDARIES):  # the lowest stays
+        out[[m.end() for m in pattern.finditer(text)]] = penalty
     return out
 
 
+def least_fees(at: np.ndarray, after: np.ndarray, fee: np.ndarray, room: int) -> tuple[list[float], float]:
+    """The least sum of penalties from each place to the end, and from the beginning; infinity where pieces don't fit."""
+    last, fees = len(at) - 1, fee.tolist()
+    reach = (np.searchsorted(at, after + room, side="right") - 1).tolist()
+    left = [np.inf] * last + [0.0]
+    near: deque[int] = deque()  # places to go to next: the cheapest is the last of them
+
+    def enter(k: int) -> None:
+        v = fees[k] + left[k]
+        while near and fees[near[0]] + left[near[0]] >= v:
+            near.popleft()
+        near.appendleft(k)
+
+    for k in range(last - 1, -1, -1):
+        enter(k + 1)
+        while near and near[-1] > reach[k]:
+            near.pop()
+        if near:
+            left[k] = fees[near[-1]] + left[near[-1]]
+    enter(0)
+    first = int(np.searchsorted(at, room, side="right")) - 1
+    while near and near[-1] > first:
+        near.pop()
+    return left, fees[near[-1]] + left[near[-1]] if near else np.inf
+
+
 def cuts(n: int, places: np.ndarray, penalties: np.ndarray, room: int, begins: np.ndarray, least: int) -> tuple[list[int] | None, float]:
     """Token positions to cut at and their cost, or None and infinity if the places do not suffice.
 
     ``places``: allowed positions in order, 0 < p < n; ``begins``: for each, where the piece after it starts
     (its overlap included); ``room``: tokens in a piece; ``least``: the number of pieces aimed at.
+
+    The dynamic program looks for ways that cost at most ``spare`` more than the least penalties alone: only pieces
+    near the length aimed at, and places from which the rest can stay below, come into them.  A way found so is the
+    cheapest of all; where there is none, ``spare`` grows.
     """
     aim = (n + (least - 1) * (places - begins).max(initial=0)) / least
-    at = np.concatenate([[0], places, [n]])
-    start = np.concatenate([[0], begins, [n]])
-    fee = np.concatenate([[0.0], penalties, [0.0]])
-    best = np.full(len(at), np.inf)
-    best[0] = 0.0
-    come = np.full(len(at), -1)
-    lows = np.searchsorted(start, at - room)
-    scaled, offsets = start * (IMBALANCE**0.5 / room), (at - aim) * (IMBALANCE**0.5 / room)
-    for k in range(1, len(at)):
-        low = lows[k]
-        if low >= k:
+    at, after, fee = np.concatenate([places, [n]]), np.concatenate([begins, [n]]), np.concatenate([penalties, [0.0]])
+    left, base = least_fees(at, after, fee, room)
+    if not np.isfinite(base):
+        return None, np.inf
+    spare = 0.25
+    while True:
+        found, total = _within(at, after, fee, room, aim, left, base + spare + 1e-9, spare)
+        if total <= base + spare + 1e-9:
+            return found, total
+        spare *= 4
+
+
+def _within(at: np.ndarray, after: np.ndarray, fee: np.ndarray, room: int, aim: float, left: list[float], most: float, spare: float) -> tuple[list[int] | None, float]:
+    scale = IMBALANCE**0.5 / room
+    off = spare**0.5 / scale + 1e-6  # tokens that a piece may differ from the aim
+    longest, shortest = min(room, aim + off), max(0.0, aim - off)
+    # the ways so far that are worth going on: where their next piece starts, their cost, the place they end at; all from the beginning
+    start, cost, place = np.zeros(len(at) + 1), np.zeros(len(at) + 1), np.full(len(at) + 1, -1)
+    come = np.full(len(at), -2)
+    ways, low, high, total = 1, 0, 0, np.inf
+    for k, (end, own, rest) in enumerate(zip(at.tolist(), fee.tolist(), left)):
+        while low < ways and start[low] < end - longest:
+            low += 1
+        while high < ways and start[high] <= end - shortest:
+            high += 1
+        if low >= high:
+            total = np.inf
             continue
-        off = offsets[k] - scaled[low:k]
-        cost = off * off + best[low:k]
-        j = cost.argmin()
-        best[k], come[k] = cost[j] + fee[k], low + j
-    if not np.isfinite(best[-1]):
+        d = (end - aim - start[low:high]) * scale
+        d *= d
+        d += cost[low:high]
+        j = int(d.argmin())
+        total = float(d[j]) + own
+        if total + rest <= most:
+            come[k] = place[low + j]
+            start[ways], cost[ways], place[ways] = after[k], total, k
+            ways += 1
+    if come[-1] == -2:
         return None, np.inf
     out, k = [], come[-1]
-    while k > 0:
+    while k >= 0:
         out.append(int(at[k]))
         k = come[k]
-    return out[::-1], float(best[-1])
+    return out[::-1], total
 
 
 def split_text(text: str, vocabulary: str, limit: int = 4096, overlap: int = 128) -> list[tuple[int, int, int, int]]:
@@ -100,9 +151,8 @@ def split_text(text: str, vocabulary: str, limit: int = 4096, overlap: int = 128
     char_at = chars[np.minimum(begin, len(raw))]
     every = np.flatnonzero(aligned[1:n]) + 1
     least = -(-(n - overlap) // (limit - overlap))
-    natural_at = np.array([natural.get(int(x), -1.0) for x in char_at[every]])
     places = None
-    fees = np.where(natural_at >= 0, natural_at, ANYWHERE)
+    fees = np.minimum(natural[char_at[every]], ANYWHERE)
     levels = sorted({fee for _, fee in BOUNDARIES} | {ANYWHERE})
     for level, finer in zip(levels[2:], [*levels[3:], np.inf]):
         p = every[fees <= level]
