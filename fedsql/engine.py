@@ -277,7 +277,7 @@ class Session:
 
     def register_generator(self, name: str, f: Callable, kind: str = "string") -> None:
         own = self.fresh("g")
-        self.spark.udf.register(own, F.udf(lambda *a: list(f(*a)), f"array<{kind}>"))
+        self.spark.udf.register(own, F.udf(lambda *a: list(f(*a)), f"array<{kind}>", useArrow=True))
         self.functions[name.lower()] = ("generator", own)
 
     def register_transform(self, name: str, f: Callable[..., DataFrame]) -> None:

@@ -24,18 +24,24 @@ def shared_root(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="fedsql-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(root)
+        sc.setCheckpointDir(root)  # a folder of this application's own in there
+        _goes_with(spark, sc.getCheckpointDir())
     return root
 
 
+def _goes_with(spark: SparkSession, path: str) -> None:
+    """Makes a folder that is deleted when the application ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)  # only what exists can be marked
+    fs.deleteOnExit(at)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A name for a new folder in this application's part of :func:`shared_root`, which goes when the application ends, or with :func:`remove`."""
     own = f"{shared_root(spark).rstrip('/')}/fedsql/{spark.sparkContext.applicationId}"
     if own not in _marked:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
-        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        fs.mkdirs(at)  # only what exists can be marked
-        fs.deleteOnExit(at)
+        _goes_with(spark, own)
         _marked.add(own)
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
