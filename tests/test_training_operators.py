@@ -139,6 +139,54 @@ def test_month_first_where_the_order_of_records_says_so(spark, spread):
     assert df.select(F.size(by_rule).alias("n")).filter("n > 1").count() == 0
 
 
+@pytest.mark.parametrize(("text", "zone", "want"), [
+    ("04/03/2023 10:00", "UTC", {"2023-03-04T10:00:00": False, "2023-04-03T10:00:00": True}), ("03/25/2023", "UTC", {}), ("25/03/2023", "UTC", {"2023-03-25T00:00:00": False}),
+    ("2023-11-05 01:30:00", "America/New_York", {"2023-11-05T05:30:00": False, "2023-11-05T06:30:00": True}), ("2023-11-05 02:00:00", "America/New_York", {"2023-11-05T07:00:00": False}),
+    ("2023-03-12 02:30:00", "America/New_York", {"2023-03-12T07:30:00": False}), ("2023-04-02 01:45:00", "Australia/Lord_Howe", {"2023-04-01T14:45:00": False, "2023-04-01T15:15:00": True}),
+    ("2023-11-05 01:30:00 EST", "America/New_York", {"2023-11-05T06:30:00": False}), ("2023-11-05 01:30:00", "EST5EDT", {"2023-11-05T05:30:00": False, "2023-11-05T06:30:00": True}), ("soon", "UTC", {}), ("2023-11-04 01:30:00", "America/New_York", {"2023-11-04T05:30:00": False}),
+])
+def test_every_reading_with_the_rules_as_costs(spark, text, zone, want):
+    df = spark.createDataFrame([(text, zone)], "t string, z string")
+    got = df.select(instants.readings(F.col("t"), F.col("z"), against=instants.AGAINST).alias("r")).first().r
+    assert {x.us: x.cost >= instants.AGAINST for x in got} == {micros(datetime.fromisoformat(t).replace(tzinfo=UTC)): c for t, c in want.items()}
+
+
+def test_p2_lets_viterbi_choose_among_every_reading(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    month_first = ["03/14/2023", "04/05/2023", "04/06/2023", "04/07/2023 10:00", "2023-11-05 01:30:00", "06/06/2023", None, "07/08/2023", "07/30/2023", "2023-08-01T00:00:00Z", "08/09/2023", "soon"]
+    tables = {
+        "demo": ([(f"d{i:02}", t, t) for i, t in enumerate(month_first)], "_id string, start_date string, created_at string"),
+        "site_orders": ([(i, t, "America/New_York" if i % 2 == 0 else None) for i, t in enumerate(month_first)], "order_id bigint, order_at string, time_zone string"),
+        "member_orders": ([(i, t) for i, t in enumerate(month_first * 3)], "id bigint, create_time string"),
+    }
+    c = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        c.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    several, choose = [], instants.choose_ends
+    monkeypatch.setattr(instants, "choose_ends", lambda rows: several.append(rows) or choose(rows))
+    got = sorted(tuple(r) for r in q.p2_found(spark, str(tmp_path)).select("table_name", "row_key", "field_name", "utc_us").collect())
+    assert len(several) == 4  # one call for each source
+    assert got == sorted(c.execute(f"select table_name, row_key, field_name, utc_us from ({q.SQL['p2_found']})").fetchall())
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_viterbi_over_long_runs(spark, seed):
+    rng = random.Random(seed)
+    rows = [("a", f"k{i:04}", i, [(rng.randrange(1000) * 3_600_000_000, rng.randrange(3), rng.random()) for _ in range(rng.choice([1, 2, 3] if seed else [2, 3]))]) for i in range(3000)]
+    got = {r.key: r.us for r in instants.resolve(spark.createDataFrame(rows, f"source string, key string, ord bigint, states {instants.STATES}").repartition(3)).collect()}
+
+    def least(seq):
+        costs = [x[2] for x in seq[0]]
+        for a, b in zip(seq, seq[1:]):
+            costs = [x[2] + min(c + instants.step_cost(p[:2], x[:2]) for c, p in zip(costs, a)) for x in b]
+        return min(costs)
+
+    assert len(got) == len(rows)
+    assert least([[x for x in s if x[0] == got[k]] for _, k, _, s in rows]) == pytest.approx(least([s for *_, s in rows]))
+
+
 @pytest.mark.parametrize("name", sorted(q.SQL))
 def test_query_as_duckdb(spark, data, name):
     import duckdb
