@@ -195,6 +195,16 @@ class Session:
         self.views[id(df)] = (view, df)
         return view
 
+    def stored(self, view: str) -> int:
+        """Bytes of the files that a view reads; 0 where it computes more than columns and filters, or reads no files."""
+        df = self.spark.table(view)
+        plan = df._jdf.queryExecution().optimizedPlan()
+
+        def plain(p: Any) -> bool:
+            return p.nodeName() in ("LogicalRelation", "Project", "Filter", "Union") and all(plain(p.children().apply(k)) for k in range(p.children().size()))
+
+        return int(plan.stats().sizeInBytes()) if plain(plan) and not df.isStreaming and df.inputFiles() else 0
+
     def schema_of(self, sql: str) -> T.StructType | None:
         try:
             return self.spark.sql(sql).schema

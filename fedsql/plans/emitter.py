@@ -25,6 +25,9 @@ from fedsql.plans.parser import COMPARE, Node
 from fedsql.sources.files import view_arguments
 
 ORD = "__ord"
+PART = "__part"
+#: Pairs of rows of an average key that are made as one lot. Small, so that what is shuffled shows Spark that there is work for more than a few tasks.
+PAIRS = 80_000
 AGGREGATES = {
     "count", "sum", "max", "min", "avg", "group_concat", "group_array", "grouparray", "group_uniq_array", "groupuniqarray", "group_bit_and", "group_bit_or", "group_bit_xor", "groupbitand", "groupbitor", "groupbitxor",
     "json_arrayagg", "json_objectagg", "any_value", "stddev", "stddev_pop", "stddev_samp", "variance", "var_pop", "var_samp", "approx_count_distinct", "percentile", "percentile_approx", "median", "mode", "corr", "count_if", "max_by", "min_by", "skewness", "kurtosis", "bool_and", "bool_or", "grouping", "grouping_id",
@@ -58,6 +61,10 @@ def database_text(n: Node, session: Any) -> str:
     return "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
 
 
+def conjuncts(n: Node) -> list[Node]:
+    return conjuncts(n.left) + conjuncts(n.right) if n.kind == "binary" and n.op == "and" else [n]
+
+
 class Scope:
     """What a SELECT's names can refer to."""
 
@@ -181,6 +188,8 @@ class Emitter:
         generators: list[Node] = []
         for e in everything:
             self.find_generators(e, generators)
+        parts = self.spread(n, relations, scope) if outer is None and not scope.ordered else []
+        relations = [(rel, alias, schema) for rel, (_, alias, schema) in zip(parts, relations)] if parts else relations
         for s, (rel, alias, _) in zip(n.sources, relations):
             if first and scope.ordered:
                 rel = f"(SELECT *, monotonically_increasing_id() AS {ORD} FROM {rel})"
@@ -190,6 +199,8 @@ class Emitter:
                 text = f" FROM {rel} AS {tick(alias)}"
             else:
                 text += self.join(s, rel, alias, scope)
+                if parts:
+                    text += f" AND {tick(relations[0][1])}.{PART} = {tick(alias)}.{PART}"
             first = False
         if generators:
             cells = []
@@ -208,7 +219,8 @@ class Emitter:
             else:
                 name, _, _, _ = annotated(a) if a else (self.auto_name(e), [], None, False)
                 columns.append(f"{self.value(e, scope)} AS {tick(name)}")
-        head = f"SELECT {'DISTINCT ' if n.distinct else ''}{', '.join(columns)}"
+        hint = f"/*+ MERGE({tick(relations[1][1])}) */ " if parts else ""  # the parts of a table are too many for a broadcast
+        head = f"SELECT {hint}{'DISTINCT ' if n.distinct else ''}{', '.join(columns)}"
         if n.group:
             if n.how == "sets":
                 text += " GROUP BY GROUPING SETS (" + ", ".join("(" + ", ".join(self.group_key(k, scope, n) for k in g) + ")" for g in n.group) + ")"
@@ -219,6 +231,55 @@ class Emitter:
             text += f" HAVING {self.truth(n.having, scope)}" if grouped else f"{' AND' if n.where is not None else ' WHERE'} {self.truth(self.unaliased(n.having, scope), scope)}"
         return head + text + self.trailing(n, scope)
 
+    def spread(self, n: Node, relations: list[tuple[str, str, T.StructType | None]], scope: Scope) -> list[str]:
+        """Both sources of an inner join of stored tables, in parts, where a key's pairs are too many for one task; else nothing.
+
+        Few keys with many rows on both sides leave most cores idle, and what is shuffled is too small for Spark to see it.
+        Each row of the longer table goes to one part by its content, those of the shorter one go to all.
+        """
+        if len(relations) != 2 or n.sources[1].join != "inner" or n.sources[1].on is None or any(s.kind == "derived" or getattr(s, "lateral", False) or schema is None for s, (_, _, schema) in zip(n.sources, relations)):
+            return []
+        if any(e.kind == "star" for e, _ in n.items) or (n.limit is not None and not n.order):
+            return []
+        aliases = [alias for _, alias, _ in relations]
+        own: list[list[Node]] = [[], []]
+        keys: list[list[str]] = [[], []]
+        for c in [*conjuncts(n.sources[1].on), *(conjuncts(self.unaliased(n.where, scope)) if n.where is not None else [])]:
+            if len(of := self.sides(c, aliases, scope)) == 1 and of <= {0, 1}:
+                own[min(of)].append(c)
+            elif c.kind == "binary" and c.op in ("=", "==") and [self.sides(x, aliases, scope) for x in (c.left, c.right)] in ([{0}, {1}], [{1}, {0}]):
+                for x in (c.left, c.right):
+                    keys[min(self.sides(x, aliases, scope))].append(self.value(x, scope))
+        sizes = [self.session.stored(rel) for rel, _, _ in relations]
+        if not keys[0] or sizes[0] * sizes[1] < 64 * PAIRS:
+            return []
+        asked = []
+        for at, ((rel, alias, _), k, conditions) in enumerate(zip(relations, keys, own)):
+            where = "".join(f" {'AND' if i else 'WHERE'} {self.truth(c, scope)}" for i, c in enumerate(conditions))
+            asked.append(f"SELECT {at} AS at, count(*) AS n, approx_count_distinct(xxhash64({', '.join(k)})) AS d FROM {rel} AS {tick(alias)}{where}")
+        counts = [(r.n, r.d) for r in sorted(self.session.spark.sql(" UNION ALL ".join(asked)).collect())]
+        each = [n / max(1, *(d for _, d in counts)) for n, _ in counts]
+        long, short = (0, 1) if each[0] >= each[1] else (1, 0)
+        # parts of fewer than 16 rows of a key would cost more in copies than they share out
+        parts = int(min(each[0] * each[1] / PAIRS + 1, each[long] / 16, 10_000))
+        content = [tick(f.name) for f in relations[long][2].fields if not re.search(r"\b(map|variant)\b", f.dataType.simpleString())]
+        if parts < 2 or not content:
+            return []
+        out = ["", ""]
+        out[long] = f"(SELECT *, pmod(xxhash64({', '.join(content)}), {parts}L) AS {PART} FROM {relations[long][0]})"
+        out[short] = f"(SELECT *, explode(sequence(0L, {parts - 1}L)) AS {PART} FROM (SELECT /*+ REPARTITION({min(parts, 64)}) */ * FROM {relations[short][0]}))"
+        return out
+
+    def sides(self, n: Node, aliases: list[str], scope: Scope) -> set[int]:
+        """The sources, by place, that an expression's columns are of; -1 for what can't be told."""
+        if n.kind in ("subquery", "exists", "select", "with", "setop", "star"):
+            return {-1}
+        if n.kind != "column":
+            return {k for c in n.children() for k in self.sides(c, aliases, scope)}
+        found = [a for a in aliases if a.lower() == n.parts[0].lower()] if len(n.parts) > 1 else []
+        alias = found[0] if found else scope.column(n.parts[0])[0]
+        return {aliases.index(alias) if alias in aliases else -1}
+
     def hidden(self, scope: Scope, first: bool) -> str:
         """Keeps the columns that were added to the first source out of ``*``."""
         own = [*([ORD] if scope.ordered else []), *dict.fromkeys(scope.ranked.values())]

@@ -184,6 +184,32 @@ def test_filters_and_columns_reach_the_scan(spark, data):
     assert "GreaterThan(o_totalprice" in plan and "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_a_key_with_many_pairs_is_made_by_several_tasks(spark, tmp_path, monkeypatch, turned):
+    """expr_key_join: 25 keys, thousands of rows each on both sides; as a whole they were made by the tasks that scan one table."""
+    from fedsql.plans import emitter
+
+    monkeypatch.setattr(emitter, "PAIRS", 1000, raising=False)
+    spark.range(3000).selectExpr("id AS c", "IF(id % 50 = 7, NULL, id % 2) AS k", "id % 3 AS v").coalesce(1).write.parquet(f"{tmp_path}/a.parquet")
+    spark.range(200).selectExpr("id AS s", "IF(id % 50 = 7, NULL, id % 2) AS k", "id % 3 AS w").coalesce(1).write.parquet(f"{tmp_path}/b.parquet")
+    e = Engine(spark)
+    e.session.folder = str(tmp_path)
+    first, second = ("b", "a") if turned else ("a", "b")
+    sql = f"SELECT {{}} FROM {first} INNER JOIN {second} ON concat(a.k, 'N') = concat(b.k, 'N') AND b.s > 3 AND a.v <= b.w WHERE a.c < 2900"
+    df = e.execute(sql.format("a.c, b.s"))
+    want = sorted((c, s) for c in range(2900) for s in range(4, 200) if c % 50 != 7 != s % 50 and c % 2 == s % 2 and c % 3 <= s % 3)
+    assert sorted(rows(df)) == want
+    assert rows(e.execute(sql.format("count(*) AS n"))) == [(len(want),)]
+    assert sorted(rows(e.execute(sql.format("DISTINCT b.s")))) == sorted({(s,) for _, s in want})
+    assert sorted(df.columns) == ["c", "s"] and sorted(e.execute(sql.format("*")).columns) == ["c", "k", "k", "s", "v", "w"]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        by_task = e.execute(sql.format("a.c, b.s"))._jdf.queryExecution().toRdd().toJavaRDD().glom().collect()
+        assert max(len(x) for x in by_task) < 0.6 * len(want)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_streams(spark, data, tmp_path):
     spark.read.parquet(f"{data}/events.parquet").repartition(4).write.parquet(f"{tmp_path}/in")
     schema = spark.read.parquet(f"{tmp_path}/in").schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
